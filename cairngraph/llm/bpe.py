@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -209,8 +211,8 @@ def decode(df: DataFrame, key: str, ids: str, vocabulary: str, pattern: str) ->
     return df.select(F.col(key), F.col(ids)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, data binary")
 
 
-def round_trip(df: DataFrame, key: str, text: str, vocabulary: str, pattern: str) -> DataFrame:
-    """key, n_tokens, ids_sha256 and decoded_sha256 of every text: encoded, then decoded from the ids, without leaving the worker."""
+def round_trip(df: DataFrame, key: str, text: str, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """key, n_tokens, ids_sha256 and decoded_sha256 of every text, and ids if asked for: encoded, then decoded from the ids, without leaving the worker."""
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
@@ -218,15 +220,22 @@ def round_trip(df: DataFrame, key: str, text: str, vocabulary: str, pattern: str
         c = codec(shared.value, pattern)
         sha = hashlib.sha256
         for batch in batches:
-            counts, ids_sha, decoded_sha = [], [], []
+            counts, ids_sha, decoded_sha, kept = [], [], [], []
             for value in batch.column(1):
                 ids = c.encode(value.as_py() or "")
                 counts.append(len(ids))
                 ids_sha.append(sha(" ".join(map(c.texts.__getitem__, ids)).encode()).hexdigest())
                 decoded_sha.append(sha(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if with_ids:
+                    kept.append(array("i", ids))
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+            if with_ids:
+                flat = pa.array(np.frombuffer(b"".join(x.tobytes() for x in kept), np.int32))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), flat))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def _run(df: DataFrame, key: str, text: str, vocabulary: str, pattern: str, schema: str, value, kind, name: str) -> DataFrame:

@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .scratch import small_batches
 
@@ -190,3 +191,18 @@ def identify(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, lang_pred string, score double")
 
 
+
+
+def tag(df: DataFrame, text: str, model: Model, language: str, score: str) -> DataFrame:
+    """All columns of df, and the predicted language and its score under the given names."""
+    small_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        held = shared.value
+        for batch in batches:
+            found = [held.predict(vector(x.as_py())) for x in batch.column(batch.schema.get_field_index(text))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, language, score])
+
+    schema = StructType([*df.schema.fields, StructField(language, StringType()), StructField(score, DoubleType())])
+    return df.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -196,3 +196,16 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int = 5,
     out = base.drop("keys", "sig").join(named, ["n", "s1", "s2"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
 
+
+
+def one_of_each(docs: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: int = 80) -> DataFrame:
+    """docs without near duplicates: the smallest id of each component stays, once (of rows that repeat it, the least text); rows without an id stay."""
+    found = near_duplicates(docs, id_col, text_col, words, threshold)
+    dropped = found.where("id <> component_id").select("id").distinct()
+    kept = docs.join(dropped, docs[id_col] == dropped["id"], "left_anti")
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
+    if again.isEmpty():
+        return kept
+    place = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last(), F.xxhash64(*[c for c in docs.columns]))
+    single = kept.where(F.col(id_col).isNotNull()).withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
+    return single.union(kept.where(F.col(id_col).isNull()))

@@ -17,9 +17,9 @@ def ratios(spark: SparkSession, docs: DataFrame) -> list[float]:
 
 def op6_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    found = secrets.find(docs, "doc_id", "text", ratios(spark, docs))
+    found = secrets.find(docs, "text", ratios(spark, docs))
     count = lambda kind: F.size(kind).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.line(F.col("base")), 256).alias("base_sha256"), secrets.line(F.col("spans")).alias("spans"))
+    return found.select("row.doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.line(F.col("base")), 256).alias("base_sha256"), secrets.line(F.col("spans")).alias("spans"))
 
 
 QUERIES = {"op6_secret_spans": op6_secret_spans}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_bpe, q_iblt, q_langid, q_minhash, q_secrets, q_sharding, q_tiff, q_toxicity, q_warc
+from . import q_bpe, q_iblt, q_langid, q_minhash, q_mixing, q_secrets, q_sharding, q_tiff, q_toxicity, q_warc
 
-MODULES = (q_minhash, q_tiff, q_langid, q_sharding, q_bpe, q_warc, q_toxicity, q_secrets, q_iblt)
+MODULES = (q_minhash, q_tiff, q_langid, q_warc, q_mixing, q_secrets, q_sharding, q_toxicity, q_iblt, q_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

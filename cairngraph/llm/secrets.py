@@ -111,10 +111,11 @@ def _score(run: str, table: str) -> str:
     return f"element_at(transform(array({codes}), q -> aggregate(zip_with(slice(q, 1, size(q) - 1), slice(q, 2, size(q) - 1), (a, b) -> element_at({table}, a * 128 + b + 1)), 0D, (a, x) -> a + x)), 1)"
 
 
-def find(df: DataFrame, key: str, text: str, ratio: list[float], level: float = LEVEL) -> DataFrame:
-    """key, text (null: empty), base and spans: sorted array<struct<s, k, e>>, k indexing KINDS; base leaves out what the models add."""
+def find(df: DataFrame, text: str, ratio: list[float], level: float = LEVEL) -> DataFrame:
+    """row (a struct of all columns of df), text (null: empty), one array per base kind, and base and spans:
+    sorted array<struct<s, k, e>>, k indexing KINDS; base leaves out what the models add."""
     table = "cast(split('" + ",".join(f"{x:.4f}" for x in ratio) + "', ',') AS array<double>)"
-    rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("assign", F.expr(f"filter({_positions('text', ASSIGN, _holds(ASSIGN), 2)}, x -> length(x.t) >= {ASSIGN_LETTERS})"))
     access = _positions("text", ACCESS, "contains(text, 'AKIA')")
     rows = rows.withColumn("access", F.expr(f"filter({access}, x -> length(x.t) >= {ACCESS_LETTERS})"))
