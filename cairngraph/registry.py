@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from .plans import build_queries, nav_queries
+
+MODULES = (build_queries, nav_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
