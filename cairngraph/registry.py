@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import build_queries, nav_queries
+from .plans import build_queries, nav_queries, pattern_queries, search_queries
 
-MODULES = (build_queries, nav_queries)
+MODULES = (build_queries, nav_queries, pattern_queries, search_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
