@@ -1,0 +1,132 @@
+"""Canonical JSON: answers that mean the same become the same text."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterable, Iterator
+from typing import Any
+
+import pandas as pd
+import regex
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from .text import TYPOGRAPHIC_FROM, TYPOGRAPHIC_TO
+
+_PLAIN = str.maketrans(TYPOGRAPHIC_FROM, TYPOGRAPHIC_TO)
+_ID = regex.compile(r"[qp]\d+", regex.IGNORECASE)
+_FENCE = regex.compile(r"^```[A-Za-z]*\s*\n?|\n?\s*```$")
+
+
+class InvalidAnswer(ValueError):
+    """The answer isn't JSON."""
+
+
+def fold_text(text: str) -> str:
+    """Plain quotes and dashes, single spaces, ids in upper case."""
+    out = " ".join(text.translate(_PLAIN).split())
+    return out.upper() if _ID.fullmatch(out) else out
+
+
+def dump(value: Any) -> str:
+    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+
+def canonical(value: Any) -> Any:
+    """Objects by key, lists as sorted sets of their canonical texts, folded strings, whole floats as integers; {"ordered": [...]} keeps its order."""
+    match value:
+        case str():
+            return fold_text(value)
+        case bool() | None | int():
+            return value
+        case float():
+            return int(value) if value.is_integer() else value
+        case dict() if set(value) == {"ordered"} and isinstance(value["ordered"], list):
+            return {"ordered": [canonical(v) for v in value["ordered"]]}
+        case dict():
+            return {k: canonical(value[k]) for k in sorted(value)}
+        case list() | tuple():
+            by_text = {dump(c): c for c in map(canonical, value)}
+            return [by_text[k] for k in sorted(by_text)]
+    raise TypeError(type(value).__name__)
+
+
+def parse_answer(text: str) -> Any:
+    """The JSON of an answer, with or without a fence."""
+    try:
+        return json.loads(_FENCE.sub("", text.strip()))
+    except ValueError as e:
+        raise InvalidAnswer(str(e)) from e
+
+
+def serialize_final(value: Any) -> str:
+    """Structured values as strict JSON, anything else as its text."""
+    plain = value is None or isinstance(value, (dict, list, tuple, bool, int, float))
+    return json.dumps(value, sort_keys=True, ensure_ascii=False) if plain else str(value)
+
+
+def field_diff(expected: Any, got: Any) -> list[str]:
+    """Top-level fields that disagree."""
+    if not isinstance(expected, dict) or not isinstance(got, dict):
+        return [] if canonical(expected) == canonical(got) else ["<whole answer>"]
+    gone = object()
+    return sorted(k for k in expected.keys() | got.keys() if (canonical(expected[k]) if k in expected else gone) != (canonical(got[k]) if k in got else gone))
+
+
+def grade_fields(expected: dict, got: dict) -> dict[str, bool]:
+    """Nested objects: whether each key agrees; keys on one side only disagree."""
+    return {k: k in expected and k in got and canonical(expected[k]) == canonical(got[k]) for k in sorted(expected.keys() | got.keys())}
+
+
+def scoped_strings(tree: Any, entity: str | None = None, language: str | None = None) -> Iterator[tuple[str | None, str | None, str]]:
+    """(entity, language, text) of quotation fields in an answer: scope is inherited, and two ids in one nested object make it ambiguous (None)."""
+    if isinstance(tree, list):
+        for x in tree:
+            yield from scoped_strings(x, entity, language)
+        return
+    if not isinstance(tree, dict):
+        return
+    own = tree.get("qid") or tree.get("id")
+    if own is None:
+        nested = {v.get("qid") for v in tree.values() if isinstance(v, dict) and v.get("qid")}
+        own = nested.pop() if len(nested) == 1 else None if len(nested) > 1 else entity
+    language = tree.get("language") or tree.get("lang") or language
+    for k in ("evidence", "text", "description", "subject_evidence"):
+        if isinstance(tree.get(k), str):
+            yield own, language, tree[k]
+    for k, v in tree.items():
+        if isinstance(v, (dict, list)):
+            yield from scoped_strings(v, own, language)
+
+
+def canonical_text(column: Column) -> Column:
+    """Canonical JSON text of a column of JSON texts; null when it doesn't parse.  Recursion needs Python; batches go by Arrow."""
+
+    @pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        def one(v: str | None) -> str | None:
+            try:
+                return None if v is None else dump(canonical(parse_answer(v)))
+            except InvalidAnswer:
+                return None
+
+        return values.map(one)
+
+    return run(column)
+
+
+def exact(expected: Column, got: Column) -> Column:
+    """Whether two JSON texts are canonically equal; an answer that doesn't parse isn't."""
+    return F.coalesce(canonical_text(expected) == canonical_text(got), F.lit(False))
+
+
+def identity_key(rows: Iterable[Any], keys: tuple[str, ...]) -> str | None:
+    """The first key that all rows carry with values that don't repeat."""
+    rows = list(rows)
+    if not rows or not all(isinstance(r, dict) for r in rows):
+        return None
+    for k in keys:
+        if all(k in r for r in rows) and len({dump(canonical(r[k])) for r in rows}) == len(rows):
+            return k
+    return None

@@ -140,9 +140,9 @@ _HUBS = f"""{GRAPH}, dg AS (SELECT qid, count(*) FILTER (o) AS deg_out, count(*)
   e_in AS (SELECT * FROM dg WHERE deg_in BETWEEN 50 AND 100000), e_out AS (SELECT * FROM dg WHERE deg_out BETWEEN 50 AND 100000),
   bucketed AS (SELECT *, CASE WHEN greatest(deg_in, deg_out) BETWEEN 50 AND 99 THEN '50-99' WHEN greatest(deg_in, deg_out) BETWEEN 100 AND 999 THEN '100-999' WHEN greatest(deg_in, deg_out) BETWEEN 1000 AND 9999 THEN '1000-9999' WHEN greatest(deg_in, deg_out) BETWEEN 10000 AND 100000 THEN '10000+' END AS bucket,
     (xor(qid, 42)::HUGEINT * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT AS h FROM dg WHERE deg_in BETWEEN 50 AND 100000 OR deg_out BETWEEN 50 AND 100000),
-  chosen AS (SELECT qid, 'in' AS by FROM (SELECT * FROM e_in ORDER BY deg_in DESC, qid LIMIT 18) UNION ALL SELECT qid, 'out' FROM (SELECT * FROM e_out ORDER BY deg_out DESC, qid LIMIT 18)
+  chosen AS (SELECT qid, 'in' AS picked FROM (SELECT * FROM e_in ORDER BY deg_in DESC, qid LIMIT 18) UNION ALL SELECT qid, 'out' FROM (SELECT * FROM e_out ORDER BY deg_out DESC, qid LIMIT 18)
     UNION ALL SELECT qid, concat('sample:', bucket) FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY h, qid) AS n FROM bucketed WHERE bucket IS NOT NULL) WHERE n <= 6),
-  hub AS (SELECT c.qid, deg_in, deg_out, string_agg(by, ',' ORDER BY by) AS selected_by FROM chosen c JOIN dg USING (qid) GROUP BY ALL),
+  hub AS (SELECT c.qid, deg_in, deg_out, string_agg(picked, ',' ORDER BY picked) AS selected_by FROM chosen c JOIN dg USING (qid) GROUP BY ALL),
   sides AS (SELECT src AS hub, 'out' AS direction, prop, dst AS other FROM edges UNION ALL SELECT dst, 'in', prop, src FROM edges),
   slices AS (SELECT * FROM sides WHERE hub IN (SELECT qid FROM hub)),
   rel AS (SELECT hub, direction, prop, count(DISTINCT other) AS entity_count FROM slices GROUP BY 1, 2, 3 HAVING count(DISTINCT other) >= 30),
