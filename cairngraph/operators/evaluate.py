@@ -121,7 +121,7 @@ def summary(scores: DataFrame, group: Column | None = None) -> DataFrame:
 def timing(runs: DataFrame, group: str) -> DataFrame:
     """Wall seconds, seconds per call and tokens per second of wall, per group."""
     return runs.groupBy(group).agg(
-        F.count(F.lit(1)).alias("runs"), F.round(F.sum("wall"), 4).alias("total"), F.round(F.median("wall"), 4).alias("median"), F.round(F.max("wall"), 4).alias("longest"), F.round(F.try_divide(F.sum("wall"), F.sum("calls")), 4).alias("per_call"), F.round(F.try_divide(F.sum("tokens"), F.sum("wall")), 4).alias("tokens_per_second"),
+        F.count(F.lit(1)).alias("runs"), F.round(F.sum("wall"), 2).alias("total"), F.round(F.median("wall"), 2).alias("median"), F.round(F.max("wall"), 2).alias("longest"), F.round(F.try_divide(F.sum("wall"), F.sum("calls")), 2).alias("per_call"), F.round(F.try_divide(F.sum("tokens"), F.sum("wall")), 2).alias("tokens_per_second"),
     )
 
 

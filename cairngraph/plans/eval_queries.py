@@ -9,7 +9,7 @@ from ..functions.text import code_blocks, collapse, identifiers, task_of_run, ta
 from ..operators import evaluate, ledger
 from .common import GRAPH, NODES, Graph
 
-_FN = F.expr("CASE event_type WHEN 'view' THEN 'edges' WHEN 'click' THEN 'name' WHEN 'signup' THEN 'has' WHEN 'purchase' THEN 'descriptions' ELSE 'rank' END")
+_FN = "CASE event_type WHEN 'view' THEN 'edges' WHEN 'click' THEN 'name' WHEN 'signup' THEN 'has' WHEN 'purchase' THEN 'descriptions' ELSE 'rank' END"
 
 
 def _log(g: Graph):
@@ -20,7 +20,7 @@ def _log(g: Graph):
     seq = F.col("event_id")  # event ids rise with time
     args = F.array(item, F.when(F.col("event_id") % 3 == 0, "both").otherwise("out"), F.lit(""))
     ids = F.when(F.col("event_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(item))
-    return e.select(F.col("user_id").alias("run"), seq.alias("seq"), _FN.alias("fn"), args.alias("args"), ids.alias("ids"))
+    return e.select(F.col("user_id").alias("run"), seq.alias("seq"), F.expr(_FN).alias("fn"), args.alias("args"), ids.alias("ids"))
 
 
 def read_ledger(spark, sf_dir):
@@ -241,7 +241,7 @@ ORACLES = {
         SELECT count(*) FILTER (NOT a AND b) AS fixed, count(*) FILTER (a AND NOT b) AS broken, count(*) FILTER (a = b) AS unchanged, count(*) FILTER (b IS NULL) AS only_before, count(*) FILTER (a IS NULL) AS only_after, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS compared FROM a FULL JOIN b USING (task)""",
     "summary_by_pattern": f"WITH {_RUNS} SELECT split_part(task, '_', 1) AS pattern, {_SUMMARY} FROM r GROUP BY 1",
     "summary_overall": f"WITH {_RUNS} SELECT {_SUMMARY} FROM r",
-    "timing_stats": f"WITH {_RUNS} SELECT status, count(*) AS runs, round(sum(wall), 4) AS total, round(median(wall), 4) AS median, round(max(wall), 4) AS longest, round(sum(wall) / sum(calls), 4) AS per_call, round(sum(tokens) / sum(wall), 4) AS tokens_per_second FROM r GROUP BY 1",
+    "timing_stats": f"WITH {_RUNS} SELECT status, count(*) AS runs, round(sum(wall), 2) AS total, round(median(wall), 2) AS median, round(max(wall), 2) AS longest, round(sum(wall) / sum(calls), 2) AS per_call, round(sum(tokens) / sum(wall), 2) AS tokens_per_second FROM r GROUP BY 1",
     "thinking_share": f"WITH {_RUNS} SELECT substr(task, 1, 2) AS family, count(*) AS runs, round(sum(reasoning) / (count(*) * 600.0), 4) AS share, sum(reasoning) / (count(*) * 600.0) > 1 AS impossible FROM r GROUP BY 1",
     "task_audit": f"""WITH {_RUNS}, z AS (SELECT task, max_by(exact, place) AS exact FROM r GROUP BY 1), t AS (SELECT concat(CASE c_custkey % 4 WHEN 0 THEN 'LT' WHEN 1 THEN 'ST' WHEN 2 THEN 'SST' ELSE 'PST' END, '_', c_custkey) AS task, c_mktsegment AS family, c_acctbal > 0 AS valid FROM customer)
         SELECT family, count(*) AS tasks, count(*) FILTER (valid) AS valid, count(z.task) AS run, count(*) FILTER (z.exact) AS exact FROM t LEFT JOIN z USING (task) GROUP BY 1""",

@@ -49,7 +49,7 @@ def contract_faults(task: Any, functions: Iterable[str]) -> list[str]:
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     """task, family, category, turns, expected (JSON text) of all JSON files below ``path``; whole files, one object each."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path).withColumn("file", F.input_file_name())
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True).withColumn("file", F.input_file_name())
     get = lambda p: F.get_json_object("value", p)
     return files.select("file", get("$.id").alias("task"), F.element_at(F.split("file", "/"), -2).alias("family"), get("$.taxonomy.category").alias("category"), get("$.limits.turns").cast("int").alias("turns"), get("$.answer.expected").alias("expected"), F.col("value").alias("raw"))
 
