@@ -1,18 +1,22 @@
 """MinHash near-dedup: universal hash minima, banding, verification, connected components.
 
-1. Every text becomes its set of hashed word shingles, the minima of bands x rows
-   universal hashes, one key per band and one byte per minimum (the signature).
+1. Every text becomes its set of hashed word shingles, the minima of many universal
+   hashes, a key per band of minima and one byte per minimum (the signature).
 2. Texts with the same set are one class; classes meet in band buckets.
-3. In every bucket the members pair with its smallest class only.  Each class
-   verifies its most alike centre on full sets; components of these links follow.
-4. Buckets that still hold several components compare the rest: their members are
-   dealt into blocks of bounded size, blocks meet blocks, and pairs of different
-   components whose signatures pass are verified on full sets as well.  So no link
-   that a bucket holds is lost, and no bucket gathers in a task or emits its pairs.
-5. Components come from alternating large-star and small-star rounds.
+3. In every bucket the members pair with its smallest class only.  Each class verifies
+   its most alike centre on full sets, and components of these links follow; then the
+   pairs of member and centre that still lie in two components are verified.
+4. Buckets that still hold several components compare the rest: their members are dealt
+   into blocks, blocks meet blocks, and pairs of different components whose signatures
+   pass are verified on full sets, each pair in the first bucket that it shares.  So no
+   link that a bucket holds is lost, no bucket gathers in a task, and pairs inside a
+   component are never emitted.
+5. Components come from alternating large-star and small-star rounds, on edges contracted
+   by the components known so far.
 
 With 32 bands of 5, a pair at similarity 0.8 misses all buckets with probability 3e-6;
-the signature test passes 4 standard deviations below the threshold.
+the signature test passes 3.5 standard deviations below the threshold.  The texts to
+verify are picked by a bitmap of hashed ids of fixed size, so the corpus isn't shuffled.
 
 Defined results: null or blank text has an empty set and links with nothing; with fewer
 words than a shingle the whole sequence is one shingle; equal sets share a class, so
@@ -32,9 +36,11 @@ from .components import components
 from .scratch import Scratch, small_batches
 from .shingles import MinHash, shingle_set
 
-BANDS, ROWS = 32, 5
-#: Classes in one block of the exhaustive step.
-BLOCK = 64
+BANDS, ROWS, MINIMA = 32, 5, 384
+#: Classes of one side of a block in the exhaustive step.
+BLOCK = 512
+#: Bits of the bitmap of hashed ids: 8 MB, whatever the data.
+BITS, BUCKET_BITS = 1 << 26, 1 << 15
 
 
 def _features(docs: DataFrame, words: int) -> DataFrame:
@@ -42,7 +48,7 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
-        hashing = MinHash(BANDS, ROWS)
+        hashing = MinHash(BANDS, ROWS, MINIMA)
         for batch in batches:
             n, s1, s2, keys, signatures = [], [], [], [], []
             for text in batch.column(1):
@@ -63,18 +69,36 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, keys array<long>, sig binary")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """id and the sorted hashes of its set, 8 bytes each."""
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Bits of the hashed ids: BITS / BUCKET_BITS rows of 4 KB at most come to the driver."""
+    place = F.pmod(F.col("id") * 2654435761 + F.shiftright("id", 15), F.lit(BITS))
+    parts = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / BUCKET_BITS).alias("bucket")).agg(F.expr(f"bitmap_construct_agg(p % {BUCKET_BITS})").alias("bits"))
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in parts.collect():
+        at = int(r["bucket"]) * BUCKET_BITS // 8
+        out[at : at + BUCKET_BITS // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """id and the sorted set hashes, 8 bytes each, of the documents whose id is in the bitmap of ``ids`` (and of few others)."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
 
     def run(batches):
+        bits = shared.value
         for batch in batches:
+            i = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            with np.errstate(over="ignore"):
+                place = (i * np.int64(2654435761) + (i >> np.int64(15))) % np.int64(BITS)
+            batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), words).tobytes() for x in batch.column(1)], pa.binary())], ["id", "hashes"])
 
+    # a row that repeats id and text once; an id that repeats with other texts links by any of them
     return docs.mapInArrow(run, "id long, hashes binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= threshold * union on full sets."""
+    """The distinct pairs (a, b) with 100 * intersection >= threshold * union on full sets."""
 
     def run(batches):
         for batch in batches:
@@ -90,20 +114,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) ->
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    # an id that repeats with other texts links by any of them
-    sets = _sets(docs.join(ids, "id", "left_semi").dropDuplicates(["id", "text"]), words)
+    sets = _sets(docs, ids, words)
     left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Agreeing bytes of each row of x with each row of y."""
-    return (x[:, None, :] == y[None, :, :]).sum(axis=2)
-
-
 def _least_agreement(threshold: int) -> int:
-    k, t = BANDS * ROWS, threshold / 100
-    return int(k * t - 4 * (k * t * (1 - t)) ** 0.5)
+    t = threshold / 100
+    return int(MINIMA * t - 3.5 * (MINIMA * t * (1 - t)) ** 0.5)
 
 
 def _star_pairs(keys: DataFrame, centres: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
@@ -113,8 +131,8 @@ def _star_pairs(keys: DataFrame, centres: DataFrame, reps: DataFrame, threshold:
 
     def run(batches):
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-            y = np.frombuffer(b"".join(batch.column("y").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.uint8).reshape(-1, MINIMA)
+            y = np.frombuffer(b"".join(batch.column("y").to_pylist()), np.uint8).reshape(-1, MINIMA)
             same = (x == y).sum(axis=1)
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.int32())], ["a", "b", "alike"])
             yield out.filter(pa.array(same >= least))
@@ -126,38 +144,50 @@ def _star_pairs(keys: DataFrame, centres: DataFrame, reps: DataFrame, threshold:
 
 
 def _block_pairs(members: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) of different components within a bucket that pass sizes and signatures; members: key, members, id, component, n, sig."""
+    """(a, b) of different components that pass sizes and signatures, from the first bucket that they share; members: band, key, members, id, component, n, sig, keys."""
     least = _least_agreement(threshold)
     parts = members.withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.struct("part", "id", "component", "n", "sig").alias("m"))
-    blocks = dealt.groupBy("key", "i", "j").agg(F.collect_list("m").alias("ms")).where("size(ms) > 1")
+    dealt = dealt.select("key", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.struct("part", "id", "component", "n", "sig", "keys").alias("m"))
+    blocks = dealt.groupBy("key", "band", "i", "j").agg(F.collect_list("m").alias("ms"))
 
     def run(batches):
         for batch in batches:
-            a, b = [], []
-            for i, j, ms in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("ms"), strict=True):
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for band, i, j, ms in zip(batch.column("band").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("ms"), strict=True):
                 flat = ms.values
                 part, ids = flat.field("part").to_numpy(), flat.field("id").to_numpy()
                 comp, n = flat.field("component").to_numpy(), flat.field("n").to_numpy()
                 sig = np.frombuffer(b"".join(flat.field("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-                p, q = np.flatnonzero(part == i), np.flatnonzero(part == j)
-                for at in range(0, len(p), BLOCK):  # parts are dealt by hash, so one may be a little over
-                    r = p[at : at + BLOCK]
-                    ok = comp[r][:, None] != comp[q][None, :]
-                    small, large = np.minimum(n[r][:, None], n[q][None, :]), np.maximum(n[r][:, None], n[q][None, :])
-                    ok &= 100 * small >= threshold * large
-                    if not ok.any():
-                        continue
-                    ok &= _alike(sig[r], sig[q]) >= least
-                    x, y = np.nonzero(ok)
-                    a.append(ids[r[x]]), b.append(ids[q[y]])
-            a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+                keys = np.array(flat.field("keys").to_pylist(), np.int64)
+                q = np.flatnonzero(part == j)
+                for r in np.flatnonzero(part == i):
+                    k = q[(comp[q] != comp[r]) & (100 * np.minimum(n[q], n[r]) >= threshold * np.maximum(n[q], n[r]))]
+                    k = k[ids[k] > ids[r]] if i == j else k
+                    k = k[(sig[k] == sig[r]).sum(axis=1) >= least]
+                    # only where this band is the first that the two share
+                    k = k[(keys[k] == keys[r]).argmax(axis=1) == band]
+                    a.append(np.minimum(ids[k], ids[r])), b.append(np.maximum(ids[k], ids[r]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
 
     return blocks.mapInArrow(run, "a long, b long")
 
 
+def _named(ids: DataFrame, comp: DataFrame, name: str) -> DataFrame:
+    """ids with c_<name>, the component of the id in column ``name`` (itself if it has none)."""
+    held = comp.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
+    return ids.join(held, name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))
+
+
+def _merged(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components after more links: their ends become components, which are joined, and every node follows its component."""
+    ends = _named(_named(links, comp, "a"), comp, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    more = components(ends, scratch).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = comp.join(more, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    # components that were single classes are nodes of the new links only
+    return scratch.write(old.union(more.select(F.col("component").alias("node"), F.col("to").alias("component"))).distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: int = 80) -> DataFrame:
     """id, n_shingles, class_id (smallest id with the same set) and component_id of every row; see the module's docstring."""
     spark = docs.sparkSession
@@ -168,36 +198,34 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int = 5,
     # one class per set; copies are aggregated before they are shuffled
     classes = full.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "keys", "sig")).alias("r"))
     reps = scratch.write(classes.select("n", "s1", "s2", "r.id", "r.keys", "r.sig"))
+    rows = base.drop("keys", "sig")
     texts = docs.where("id is not null")
 
     keys = reps.select("id", F.explode("keys").alias("key"))
     centres = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("members"))
     stars = scratch.write(_star_pairs(keys, centres, reps, threshold))
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("alike", -F.col("a"))).alias("a")).select("a", "b")
-    first = scratch.write(_verified(best, texts, words, threshold))
-    comp = components(first, scratch)
+    comp = scratch.write(components(scratch.write(_verified(best, texts, words, threshold)), scratch))
 
-    def component(ids: DataFrame, name: str) -> DataFrame:
-        return ids.join(comp.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}")), name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))
+    rest = _named(_named(stars.select("a", "b"), comp, "a"), comp, "b").where("c_a <> c_b").select("a", "b").join(best, ["a", "b"], "left_anti")
+    tested = scratch.write(rest)
+    comp = _merged(comp, _verified(tested, texts, words, threshold), scratch)
 
-    owned = component(reps.select("id", "n", "sig", "keys"), "id")
+    owned = _named(reps.select("id", "n", "sig", "keys"), comp, "id")
     spread = owned.select("c_id", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("c_id").alias("lo"), F.max("c_id").alias("hi"))
     spread = spread.where("members > 2 and lo <> hi").select("key", "members")
-    members = owned.select("id", F.col("c_id").alias("component"), "n", "sig", F.explode("keys").alias("key")).join(spread, "key")
-    rest = component(component(stars.select("a", "b"), "a"), "b").where("c_a <> c_b").select("a", "b")
-    pairs = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(_block_pairs(members, threshold)).distinct()
-    pairs = scratch.write(pairs.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    links = scratch.write(first.union(_verified(pairs, texts, words, threshold)))
-    scratch.drop(stars, pairs)
-    final = components(links, scratch)
-
-    named = reps.select("n", "s1", "s2", F.col("id").alias("class_id"))
-    named = named.join(final.select(F.col("node").alias("class_id"), "component"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    out = base.drop("keys", "sig").join(named, ["n", "s1", "s2"], "left")
+    found = owned.select("id", F.posexplode("keys").alias("band", "key")).join(spread, "key")
+    members = found.join(owned.select("id", F.col("c_id").alias("component"), "n", "sig", "keys"), "id")
+    star = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = scratch.write(_block_pairs(members, threshold).join(star, ["a", "b"], "left_anti"))
+    comp = _merged(comp, _verified(pairs, texts, words, threshold), scratch)
+    scratch.drop(stars, pairs, tested)
+
+    named = _named(reps.select("n", "s1", "s2", "id"), comp, "id").withColumnsRenamed({"id": "class_id", "c_id": "component"})
+    out = rows.join(named, ["n", "s1", "s2"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
 
 
-
 def one_of_each(docs: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: int = 80) -> DataFrame:
     """docs without near duplicates: the smallest id of each component stays, once (of rows that repeat it, the least text); rows without an id stay."""
     found = near_duplicates(docs, id_col, text_col, words, threshold)

@@ -84,24 +84,25 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
 
 
 class MinHash:
-    """Minima of many universal hashes (multiply, add, take the high half) of a set."""
+    """Minima of many universal hashes (multiply, add, take the high half) of a set; the first bands x rows of them make the band keys."""
 
-    def __init__(self, bands: int, rows: int, seed: int = 7):
+    def __init__(self, bands: int, rows: int, minima: int, seed: int = 7):
         self.bands, self.rows = bands, rows
-        self.a, self.b = _fixed(seed, bands * rows), _fixed(seed + 1, bands * rows)
+        self.a, self.b = _fixed(seed, minima), _fixed(seed + 1, minima)
         self.salt = _fixed(seed + 2, bands)
 
     def minima(self, hashes: np.ndarray) -> np.ndarray:
         out = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
         with np.errstate(over="ignore"):
-            for at in range(0, len(hashes), 1024):
-                x = hashes[at : at + 1024, None] * self.a + self.b
-                out = np.minimum(out, (x >> _U(32)).astype(np.uint32).min(axis=0))
+            for at in range(0, len(hashes), 512):
+                x = hashes[at : at + 512, None] * self.a
+                x += self.b
+                out = np.minimum(out, x.view(np.uint32)[:, 1::2].min(axis=0))
         return out
 
     def keys(self, minima: np.ndarray) -> np.ndarray:
         """One 64-bit key per band."""
-        m = minima.reshape(self.bands, self.rows).astype(np.uint64)
+        m = minima[: self.bands * self.rows].reshape(self.bands, self.rows).astype(np.uint64)
         with np.errstate(over="ignore"):
             out = self.salt.copy()
             for i in range(self.rows):
