@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import build
 from ..sources import fixture
+from ..workers import reach
 
 
 class Graph:
@@ -13,6 +14,7 @@ class Graph:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        reach(spark)
 
     def table(self, name: str) -> DataFrame:
         return fixture.table(self.spark, self.sf_dir, name)
