@@ -8,7 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the corpus contracts: space and the controls 9 to 13.
+from ..workers import reach
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Words of the corpus contracts: runs without space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,10 +65,10 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of one Arrow batch, so that a worker holds a few MB of text at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+    """Bound the rows of one Arrow batch, so that a worker holds a few MB of text at a time, and let workers find this package."""
+    reach(spark)
+    if int(spark.conf.get(BATCH)) > rows or int(spark.conf.get(BATCH)) <= 0:
+        spark.conf.set(BATCH, str(rows))
 
 
 def id_mod(column: Column, n: int) -> Column:
