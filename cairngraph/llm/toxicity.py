@@ -37,6 +37,8 @@ STEMS = (4, 5, 6)
 #: Surprise in nats that a term needs, the least rows that hold it, and the most terms kept.
 LEAST_SURPRISE, LEAST_ROWS, MAX_TERMS = 9.0, 3, 4000
 EDITED, FUZZY_LENGTH = 0.5, 5
+#: Weight that a term needs to be looked for with an edit.
+FUZZY_WEIGHT = 0.5
 WINDOW, QUOTED, ADDRESSED = 6, 0.3, 1.25
 REMEMBERED = 400_000
 # Words that report or quote, words that address, and quotation marks.
@@ -53,6 +55,7 @@ class Trie:
         self.heads: set[str] = set()
         self.tails: set[str] = set()
         self.sizes: set[int] = set()
+        self.near_sizes = {len(t) + d for t in terms for d in (-1, 0, 1)}
         for term in terms:
             node = self.root
             for c in term:
@@ -70,7 +73,7 @@ class Trie:
     def near(self, word: str) -> str | None:
         """The first term, in letter order, that the automaton of ``word`` accepts with at most one edit."""
         first = self.root.get(word[:1])
-        if first is None or not self.possible(word):
+        if first is None or len(word) not in self.near_sizes or not self.possible(word):
             return None
         at: dict[str, int] = {}
         for i, c in enumerate(word):
@@ -103,7 +106,7 @@ class Lexicon:
     stems: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.trie = Trie([w for w in self.words if len(w) >= FUZZY_LENGTH])
+        self.trie = Trie([w for w, x in self.words.items() if len(w) >= FUZZY_LENGTH and x >= FUZZY_WEIGHT])
         self.clean: set[str] = set()
         self.known: dict[str, tuple[str, float]] = {}
 
@@ -128,7 +131,8 @@ class Lexicon:
         if not text:
             return []
         lower = text.lower()
-        distinct = set(WORD.findall(lower))
+        words = WORD.findall(lower)
+        distinct = set(words)
         for w in distinct - self.clean - self.known.keys():
             found = self.look_up(w)
             if found is None:
@@ -141,13 +145,9 @@ class Lexicon:
             self.clean, self.known = set(), kept
         if not here:
             return []
-        spans = [(m.group(), m.start(), m.end()) for m in WORD.finditer(lower)]
-        out = []
-        for i, (w, begin, end) in enumerate(spans):
-            if w in here:
-                term, weight = self.known[w]
-                out.append((i, term, weight * _context(lower, spans, i, begin, end)))
-        return out
+        # places in the text are only needed where quotation marks can stand around a word
+        spans = [m.span() for m in WORD.finditer(lower)] if any(q in lower for q in QUOTES) else None
+        return [(i, self.known[w][0], self.known[w][1] * _context(lower, words, spans, i)) for i, w in enumerate(words) if w in here]
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Log of the summed hits, log of the distinct terms, and the strongest hit."""
@@ -155,14 +155,16 @@ class Lexicon:
         return math.log1p(sum(x[2] for x in found)), math.log1p(len({x[1] for x in found})), max((x[2] for x in found), default=0.0)
 
 
-def _context(text: str, spans: list[tuple[str, int, int]], i: int, begin: int, end: int) -> float:
+def _context(text: str, words: list[str], spans: list[tuple[int, int]] | None, i: int) -> float:
     """Factor of a hit's window: quotation, address, or plain."""
-    low, high = max(0, i - WINDOW), min(len(spans), i + WINDOW + 1)
-    before, after = text[spans[low][1] : begin], text[end : spans[high - 1][2] + 1]
-    near = {spans[k][0] for k in range(low, high) if k != i}
-    closed = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
-    if closed or near & REPORTING:
+    low, high = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
+    near = {*words[low:i], *words[i + 1 : high]}
+    if near & REPORTING:
         return QUOTED
+    if spans:
+        before, after = text[spans[low][0] : spans[i][0]], text[spans[i][1] : spans[high - 1][1] + 1]
+        if any(q in before for q in QUOTES) and any(q in after for q in QUOTES):
+            return QUOTED
     return ADDRESSED if near & ADDRESS else 1.0
 
 
