@@ -147,6 +147,8 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError(f"{file}, byte {at}: the payload doesn't match its digest")
                     page = h.get("x-page-id")
                     rows.append((file, at, None if page is None else int(page), h["warc-target-uri"], h["warc-record-id"], kind, h.get("warc-refers-to"), stated, None if kind == "revisit" else len(payload)))
+                if not rows:  # an empty part of the writer
+                    continue
                 columns = list(zip(*rows, strict=True))
                 types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in HEADERS.split(", ")])
