@@ -6,11 +6,11 @@
 3. In every bucket the members pair with its smallest class only.  Each class verifies
    its most alike centre on full sets, and components of these links follow; then the
    pairs of member and centre that still lie in two components are verified.
-4. Buckets that still hold several components compare the rest: their members are dealt
-   into blocks, blocks meet blocks, and pairs of different components whose signatures
-   pass are verified on full sets, each pair in the first bucket that it shares.  So no
-   link that a bucket holds is lost, no bucket gathers in a task, and pairs inside a
-   component are never emitted.
+4. Buckets that still hold several components compare the rest: their members are dealt,
+   with their sets, into blocks of bounded size, blocks meet blocks, and pairs of different
+   components whose signatures pass are verified inside the block, each pair in the first
+   bucket that it shares; only links come out, at most one per member and component.  So no
+   link that a bucket holds is lost, no bucket gathers in a task, and no pairs are emitted.
 5. Components come from alternating large-star and small-star rounds, on edges contracted
    by the components known so far.
 
@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch, small_batches
+from .scratch import BATCH, Scratch, small_batches
 from .shingles import MinHash, shingle_set
 
 BANDS, ROWS, MINIMA = 32, 5, 384
-#: Classes of one side of a block in the exhaustive step.
-BLOCK = 512
+#: Classes, and set hashes, of one side of a block in the exhaustive step.
+BLOCK, BLOCK_HASHES = 512, 400_000
+#: Blocks in one Arrow batch.
+BLOCK_ROWS = 16
 #: Bits of the bitmap of hashed ids: 8 MB, whatever the data.
 BITS, BUCKET_BITS = 1 << 26, 1 << 15
 
@@ -93,7 +95,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), words).tobytes() for x in batch.column(1)], pa.binary())], ["id", "hashes"])
 
-    # a row that repeats id and text once; an id that repeats with other texts links by any of them
+    # an id that repeats with other texts links by any of them
     return docs.mapInArrow(run, "id long, hashes binary")
 
 
@@ -107,10 +109,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) ->
                 raw = left.as_py()
                 if raw != last:
                     last, x = raw, np.frombuffer(raw, np.uint64)
-                y = np.frombuffer(right.as_py(), np.uint64)
-                at = np.searchsorted(x, y)
-                same = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-                keep.append(100 * same >= threshold * (len(x) + len(y) - same))
+                keep.append(_linked(x, np.frombuffer(right.as_py(), np.uint64), threshold))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -143,32 +142,55 @@ def _star_pairs(keys: DataFrame, centres: DataFrame, reps: DataFrame, threshold:
     return sized.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, alike int")
 
 
-def _block_pairs(members: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) of different components that pass sizes and signatures, from the first bucket that they share; members: band, key, members, id, component, n, sig, keys."""
+def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets of hashes reach the threshold."""
+    at = np.searchsorted(x, y)
+    same = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
+    return 100 * same >= threshold * (len(x) + len(y) - same)
+
+
+def _block_links(members: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): links between different components, a spanning part of them per block; members: band, key, members, hashed, id, component, n, sig, keys, hashes."""
     least = _least_agreement(threshold)
-    parts = members.withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    parts = members.withColumn("parts", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("hashed") / BLOCK_HASHES)).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.struct("part", "id", "component", "n", "sig", "keys").alias("m"))
+    dealt = dealt.select("key", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.struct("part", "id", "component", "n", "sig", "keys", "hashes").alias("m"))
     blocks = dealt.groupBy("key", "band", "i", "j").agg(F.collect_list("m").alias("ms"))
 
     def run(batches):
         for batch in batches:
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            a, b = [], []
             for band, i, j, ms in zip(batch.column("band").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("ms"), strict=True):
                 flat = ms.values
                 part, ids = flat.field("part").to_numpy(), flat.field("id").to_numpy()
                 comp, n = flat.field("component").to_numpy(), flat.field("n").to_numpy()
+                if (comp == comp[0]).all():
+                    continue
                 sig = np.frombuffer(b"".join(flat.field("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
                 keys = np.array(flat.field("keys").to_pylist(), np.int64)
+                hashes = flat.field("hashes")
+                root = {c: c for c in comp.tolist()}
+
+                def find(c):
+                    while root[c] != c:
+                        root[c] = c = root[root[c]]
+                    return c
+
                 q = np.flatnonzero(part == j)
                 for r in np.flatnonzero(part == i):
                     k = q[(comp[q] != comp[r]) & (100 * np.minimum(n[q], n[r]) >= threshold * np.maximum(n[q], n[r]))]
                     k = k[ids[k] > ids[r]] if i == j else k
-                    k = k[(sig[k] == sig[r]).sum(axis=1) >= least]
+                    alike = (sig[k] == sig[r]).sum(axis=1)
+                    k = k[np.argsort(-alike, kind="stable")][: int((alike >= least).sum())]  # likeliest first
                     # only where this band is the first that the two share
                     k = k[(keys[k] == keys[r]).argmax(axis=1) == band]
-                    a.append(np.minimum(ids[k], ids[r])), b.append(np.maximum(ids[k], ids[r]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+                    x = np.frombuffer(hashes[int(r)].as_py(), np.uint64) if len(k) else None
+                    for o in k.tolist():
+                        p, s = find(int(comp[r])), find(int(comp[o]))
+                        if p != s and _linked(x, np.frombuffer(hashes[o].as_py(), np.uint64), threshold):
+                            root[max(p, s)] = min(p, s)
+                            a.append(int(ids[r])), b.append(int(ids[o]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return blocks.mapInArrow(run, "a long, b long")
 
@@ -212,14 +234,17 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int = 5,
     comp = _merged(comp, _verified(tested, texts, words, threshold), scratch)
 
     owned = _named(reps.select("id", "n", "sig", "keys"), comp, "id")
-    spread = owned.select("c_id", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("c_id").alias("lo"), F.max("c_id").alias("hi"))
-    spread = spread.where("members > 2 and lo <> hi").select("key", "members")
-    found = owned.select("id", F.posexplode("keys").alias("band", "key")).join(spread, "key")
-    members = found.join(owned.select("id", F.col("c_id").alias("component"), "n", "sig", "keys"), "id")
-    star = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = scratch.write(_block_pairs(members, threshold).join(star, ["a", "b"], "left_anti"))
-    comp = _merged(comp, _verified(pairs, texts, words, threshold), scratch)
-    scratch.drop(stars, pairs, tested)
+    spread = owned.select("c_id", "n", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("hashed"), F.min("c_id").alias("lo"), F.max("c_id").alias("hi"))
+    spread = spread.where("members > 2 and lo <> hi").select("key", "members", "hashed")
+    found = scratch.write(owned.select("id", F.posexplode("keys").alias("band", "key")).join(spread, "key"))
+    sets = _sets(texts, found.select("id").distinct(), words)
+    members = found.join(owned.select("id", F.col("c_id").alias("component"), "n", "sig", "keys"), "id").join(sets, "id")
+    links = _block_links(members, threshold)
+    small_batches(spark, BLOCK_ROWS)
+    links = scratch.write(links)
+    spark.conf.set(BATCH, "1000")
+    comp = _merged(comp, links, scratch)
+    scratch.drop(stars, tested, found)
 
     named = _named(reps.select("n", "s1", "s2", "id"), comp, "id").withColumnsRenamed({"id": "class_id", "c_id": "component"})
     out = rows.join(named, ["n", "s1", "s2"], "left")
