@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import Scratch, small_batches
 
 WORD = re.compile(r"\w+")
 PER_CLASS = 6000
 STEMS = (4, 5, 6)
 #: Surprise in nats that a term needs, the least rows that hold it, and the most terms kept.
 LEAST_SURPRISE, LEAST_ROWS, MAX_TERMS = 9.0, 3, 4000
+#: How many times as frequent in toxic rows as in clean ones a term is, whatever the number of either.
+LEAST_LIFT = 8.0
 EDITED, FUZZY_LENGTH = 0.5, 5
 #: Weight that a term needs to be looked for with an edit.
 FUZZY_WEIGHT = 0.5
@@ -217,6 +219,11 @@ def _count_terms(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "term string, cell int, n long").groupBy("term").agg(*cells)
 
 
+def _lifted(a, b, p: int, n: int):
+    """Whether ``a`` of ``p`` toxic rows against ``b`` of ``n`` clean ones is lift enough; numbers or columns."""
+    return (a + 0.01) * n >= (b + 0.01) * (LEAST_LIFT * p)
+
+
 def _choose(rows: list, toxic: list[float], clean: list[float]) -> Lexicon:
     """Terms whose share of toxic rows is far beyond chance; a word that a chosen stem covers isn't kept beside it."""
     p, n = sum(toxic), sum(clean)
@@ -225,9 +232,9 @@ def _choose(rows: list, toxic: list[float], clean: list[float]) -> Lexicon:
     chance = p / (p + n)
     scored = {}
     for term, a, b in rows:
-        share = (a + 0.01) / (a + b + 0.02)
-        if a < LEAST_ROWS or share <= max(0.5, 2 * chance):
+        if a < LEAST_ROWS or not _lifted(a, b, p, n):
             continue
+        share = (a + 0.01) / (a + b + 0.02)
         surprise = a * math.log(share / chance) + (b * math.log((1 - share) / (1 - chance)) if b else 0.0)
         if surprise >= LEAST_SURPRISE:
             scored[term] = (surprise, (math.log((a + 0.5) / (p + 1)) - math.log((b + 0.5) / (n + 1))), a)
@@ -254,10 +261,18 @@ def train(rows: DataFrame, text: str, label: str, order: Column, per_class: int
     picked = rows.where(F.col("place") < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
     # the thresholds hold the sample to about its size; the limit proves the bound
     sample = picked.orderBy("place", "label", F.xxhash64("text")).limit(4 * per_class).select("text", (F.col("place") % 2).cast("int").alias("fold"), "label").repartition(16)
+    sample = Scratch(rows.sparkSession, "toxicity").write(sample)  # read three times, so that the join before it runs once
     totals = {(r["fold"], r["label"]): r["count"] for r in sample.groupBy("fold", "label").count().collect()}
     size = lambda label, folds: [totals.get((f, label), 0) for f in folds]
-    # only terms that lean to toxic rows come back, at most MAX_TERMS
-    terms = _count_terms(sample).withColumn("a", F.expr("c1 + c3")).withColumn("b", F.expr("c0 + c2")).where(f"a >= {LEAST_ROWS} and a > b").orderBy(F.desc(F.col("a") - F.col("b")), "term").limit(MAX_TERMS).collect()
+    p, n = sum(size(1, (0, 1))), sum(size(0, (0, 1)))
+    if not p or not n:
+        return Model(Lexicon(), None)
+    # only terms far likelier in toxic rows come back, the most surprising MAX_TERMS
+    a, b = F.col("a"), F.col("b")
+    share, chance = (a + 0.01) / (a + b + 0.02), p / (p + n)
+    surprise = a * F.log(share / chance) + F.when(b > 0, b * F.log((1 - share) / (1 - chance))).otherwise(0.0)
+    counted = _count_terms(sample).withColumn("a", F.expr("c1 + c3")).withColumn("b", F.expr("c0 + c2"))
+    terms = counted.where((a >= LEAST_ROWS) & _lifted(a, b, p, n)).orderBy(surprise.desc(), "term").limit(MAX_TERMS).collect()
     lexicon = _choose([(r["term"], r["a"], r["b"]) for r in terms], size(1, (0, 1)), size(0, (0, 1)))
     halves = [_choose([(r["term"], r[f"c{2 * f + 1}"], r[f"c{2 * f}"]) for r in terms], size(1, (f,)), size(0, (f,))) for f in (0, 1)]
 

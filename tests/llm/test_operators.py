@@ -400,6 +400,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.scores(docs(spark, []), "doc_id", "text", model).count() == 0
 
 
+@pytest.mark.parametrize("every", [2, 5])
+def test_toxicity_learns_at_every_class_balance(spark, every):
+    """Half of the rows toxic, and four fifths: the terms that mark them are learned all the same."""
+    rnd = random.Random(every)
+    plain = ["".join(rnd.choice(["an", "re", "in", "th", "er", "ou"]) for _ in range(rnd.randint(2, 4))) for _ in range(200)]
+    rows = []
+    for i in range(600):
+        words, bad = [rnd.choice(plain) for _ in range(rnd.randint(5, 60))], i % every != 0
+        rows.append((i, " ".join(words + ([rnd.choice(["idiot", "moron", "worthless"]) for _ in range(3)] if bad else [])), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.train(df.where("doc_id % 3 <> 1"), "text", "label", F.col("doc_id"))
+    assert {"idiot", "moron", "worthless"} == set(model.lexicon.words) | {t for t in ("idiot", "moron", "worthless") for s in model.lexicon.stems if t.startswith(s)}
+    held = [((model.score(text) >= 0.7), bool(bad)) for i, text, bad in rows if i % 3 == 1]
+    assert sum(a == b for a, b in held) / len(held) > 0.98
+
+
 def test_toxicity_without_both_labels(spark):
     model = toxicity.train(spark.createDataFrame([(1, "a", 0)], "doc_id long, text string, label int"), "text", "label", F.col("doc_id"))
     assert model.score("idiot") == 0.0
