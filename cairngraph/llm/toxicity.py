@@ -1,9 +1,11 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context windows.
 
 The lexicon is learned: words, and stems of 4 to 6 letters, that mark toxic rows far
-beyond chance.  A word of a text hits a term exactly, through a stem, or, from 5 letters
-on, with one edit: the word's automaton (bit sets of positions, one per error) walks the
-trie of terms and is cut where it dies.  A hit counts by its term's weight and by its
+beyond chance.  A word of a text hits a term exactly, through a stem, or with one edit of
+either: the word's automaton (bit sets of positions, one per error) walks the trie of all
+terms from its root and is cut where it dies.  An edit counts less than its term, and the
+less the more clean rows of the sample hold such edits, as ordinary words can be one edit
+from a weak term.  A hit counts by its term's weight and by its
 context window: less inside quotation marks or beside reporting words, more beside words
 of address.  A logistic curve over the summed hits, fitted on rows whose lexicon was
 learned from other rows, gives the score.
@@ -38,9 +40,7 @@ STEMS = (4, 5, 6)
 LEAST_SURPRISE, LEAST_ROWS, MAX_TERMS = 9.0, 3, 4000
 #: How many times as frequent in toxic rows as in clean ones a term is, whatever the number of either.
 LEAST_LIFT = 8.0
-EDITED, FUZZY_LENGTH = 0.5, 5
-#: Weight that a term needs to be looked for with an edit.
-FUZZY_WEIGHT = 0.5
+EDITED = 0.5
 WINDOW, QUOTED, ADDRESSED = 6, 0.3, 1.25
 REMEMBERED = 400_000
 # Words that report or quote, words that address, and quotation marks.
@@ -50,84 +50,141 @@ QUOTES = "\"“”„«»‹›"
 
 
 class Trie:
-    """Terms by letters; ``near`` finds those within one edit that share the first letter."""
+    """Terms by letters, and stems as nodes that accept every word that goes on from them.
 
-    def __init__(self, terms: list[str]):
+    ``near`` intersects the trie with a word's automaton.  Of several terms it gives the heaviest, then the first in letter order.
+    """
+
+    def __init__(self, terms: list[str], stems: list[str] = (), weights: dict[str, float] | None = None):
         self.root: dict = {}
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
-        self.sizes: set[int] = set()
-        self.near_sizes = {len(t) + d for t in terms for d in (-1, 0, 1)}
-        for term in terms:
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = term
-            half = len(term) // 2
-            self.heads.add(term[:half])
-            self.tails.add(term[half:])
-            self.sizes |= {half, len(term) - half}
+        self.longest = max(map(len, [*terms, *stems]), default=0)
+        self.order = {t: (-(weights or {}).get(t, 0.0), t) for t in [*terms, *(s + "*" for s in stems)]}
+        #: halves of terms by the sizes of the words they can come near, halves of stems, and the lengths of these halves
+        self.halves: dict[int, tuple[set[str], set[str], set[int]]] = {}
+        self.stem_heads: set[str] = set()
+        self.stem_tails: set[str] = set()
+        self.stem_places: set[tuple[int, int]] = set()
+        self.stem_sizes: set[int] = set()
+        for kept, mark, end in ((terms, "", ""), (stems, "*", "*")):
+            for term in kept:
+                node = self.root
+                for c in term:
+                    node = node.setdefault(c, {})
+                node[mark + " "] = term + end
+                half = len(term) // 2
+                head, tail = term[:half], term[half:]
+                if end:
+                    self.stem_heads.add(head)
+                    self.stem_tails.add(tail)
+                    self.stem_sizes.add(half)
+                    self.stem_places |= {(half + d, half + d + len(tail)) for d in (-1, 0, 1) if half + d >= 0}
+                    continue
+                for size in range(max(1, len(term) - 1), len(term) + 2):
+                    heads, tails, sizes = self.halves.setdefault(size, (set(), set(), set()))
+                    heads.add(head)
+                    tails.add(tail)
+                    sizes |= {half, len(tail)}
 
     def possible(self, word: str) -> bool:
-        """One edit leaves one half of a term as it is, at its end of the word."""
-        return any(word[:n] in self.heads or word[-n:] in self.tails for n in self.sizes)
-
-    def near(self, word: str) -> str | None:
-        """The first term, in letter order, that the automaton of ``word`` accepts with at most one edit."""
-        first = self.root.get(word[:1])
-        if first is None or len(word) not in self.near_sizes or not self.possible(word):
+        """One edit leaves one half of a term as it is, at its end of the word; a stem's second half moves by one place at most."""
+        found = self.halves.get(len(word))
+        if found is not None:
+            heads, tails, sizes = found
+            for n in sizes:
+                if word[:n] in heads or word[len(word) - n :] in tails:
+                    return True
+        for n in self.stem_sizes:
+            if word[:n] in self.stem_heads:
+                return True
+        return any(word[i:j] in self.stem_tails for i, j in self.stem_places)
+
+    def near(self, word: str, same_first: bool = True) -> str | None:
+        """The best term that the automaton of ``word`` accepts with at most one edit, of any letter or of any but the first."""
+        word = word[: self.longest + 2]  # no term reads further
+        if not word or not self.possible(word):
             return None
         at: dict[str, int] = {}
         for i, c in enumerate(word):
             at[c] = at.get(c, 0) | 1 << i
         goal = 1 << len(word)
-        # state: positions reached with no error, and with at most one; the first letter is matched
-        todo = [(first, 2, 1 << 1 | (4 if len(word) > 1 else 0) | 2)]
+        full = (goal << 1) - 1
+        # state: positions reached with no error, and with at most one
+        if same_first:
+            first = self.root.get(word[0])
+            todo = [(first, 2, (1 << 1 | 1 << 2) & full)] if first is not None else []
+        else:
+            todo = [(self.root, 1, 3)]
         found = None
         while todo:
             node, exact, one = todo.pop()
-            for c, below in node.items():
-                if not c:
-                    if (exact | one) & goal and (found is None or below < found):
-                        found = below
+            if not exact:
+                # the edit is spent: only the letters that stand at the places reached lead on
+                here = {word[i] for i in range(one.bit_length()) if one >> i & 1 and i < len(word)} & node.keys()
+                below = [(c, node[c]) for c in here]
+                for mark in (" ", "* "):
+                    if mark in node:
+                        below.append((mark, node[mark]))
+            else:
+                below = node.items()
+            for c, child in below:
+                if c == "* " or c == " ":
+                    if c == "* " or (exact | one) & goal:
+                        if found is None or self.order[child] < self.order[found]:
+                            found = child
                     continue
                 here = at.get(c, 0)
                 exact_next = (exact & here) << 1
-                one_next = (one & here) << 1 | exact | exact << 1 | exact_next | exact_next << 1
-                one_next &= (goal << 1) - 1
-                if exact_next | one_next:
-                    todo.append((below, exact_next, one_next))
+                one_next = ((one & here) << 1 | exact | exact << 1 | exact_next | exact_next << 1) & full
+                if one_next:
+                    todo.append((child, exact_next, one_next))
         return found
 
 
 @dataclass
 class Lexicon:
-    """Weights of words and of stems, 0 to 1."""
+    """Weights of words and of stems, 0 to 1, and how far an edit of a term can be trusted, 0 to 1 (1 where nothing is known)."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    trust: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.trie = Trie([w for w, x in self.words.items() if len(w) >= FUZZY_LENGTH and x >= FUZZY_WEIGHT])
+        terms = self.words | {s + "*": x for s, x in self.stems.items()}
+        self.edited = {t: EDITED * x * self.trust.get(t, 1.0) for t, x in terms.items()}
+        self.trie = Trie(list(self.words), list(self.stems), self.edited)
         self.clean: set[str] = set()
         self.known: dict[str, tuple[str, float]] = {}
 
     def __reduce__(self):
-        return Lexicon, (self.words, self.stems)
+        return Lexicon, (self.words, self.stems, self.trust)
 
     def look_up(self, word: str) -> tuple[str, float] | None:
-        """(term, weight) of a word: itself, else its longest stem, else a term one edit away."""
+        """(term, weight) of a word: itself, else its longest stem, else the heaviest term or stem one edit away."""
+        found = self.exact(word)
+        if found is None:
+            term = self.trie.near(word, same_first=False)
+            if term is not None and self.edited[term] > 0:
+                found = term, self.edited[term]
+        return found
+
+    def exact(self, word: str) -> tuple[str, float] | None:
         if word in self.words:
             return word, self.words[word]
         for n in reversed(STEMS):
             if len(word) > n - 1 and word[:n] in self.stems:
                 return word[:n] + "*", self.stems[word[:n]]
-        if len(word) >= FUZZY_LENGTH - 1:
-            term = self.trie.near(word)
-            if term is not None:
-                return term, EDITED * self.words[term]
         return None
 
+    def edits(self, text: str | None) -> set[str]:
+        """Terms that a word of the text meets with an edit only."""
+        words = set(WORD.findall((text or "").lower()))
+        return {t for t in (self.trie.near(w, same_first=False) for w in words if self.exact(w) is None) if t is not None}
+
+    def trusting(self, toxic: Counter, clean: Counter, p: int, n: int) -> Lexicon:
+        """The same terms, each edit trusted as far as rows with one are toxic beyond chance; ``toxic`` and ``clean`` count these rows among ``p`` and ``n``."""
+        share = lambda t: (toxic[t] + 1) / p / ((toxic[t] + 1) / p + clean[t] / n)
+        return Lexicon(self.words, self.stems, {t: max(0.0, 2 * share(t) - 1) for t in self.edited})
+
     def hits(self, text: str | None) -> list[tuple[int, str, float]]:
         """(place in the word list, term, weight in its context) of every hit in the whole text."""
         if not text:
@@ -152,9 +209,12 @@ class Lexicon:
         return [(i, self.known[w][0], self.known[w][1] * _context(lower, words, spans, i)) for i, w in enumerate(words) if w in here]
 
     def features(self, text: str | None) -> tuple[float, float, float]:
-        """Log of the summed hits, log of the distinct terms, and the strongest hit."""
+        """Log of the summed hits, log of the distinct terms' best hits summed, and the strongest hit."""
         found = self.hits(text)
-        return math.log1p(sum(x[2] for x in found)), math.log1p(len({x[1] for x in found})), max((x[2] for x in found), default=0.0)
+        best: dict[str, float] = {}
+        for _, term, weight in found:
+            best[term] = max(weight, best.get(term, 0.0))
+        return math.log1p(sum(x[2] for x in found)), math.log1p(sum(best.values())), max(best.values(), default=0.0)
 
 
 def _context(text: str, words: list[str], spans: list[tuple[int, int]] | None, i: int) -> float:
@@ -250,15 +310,52 @@ def _choose(rows: list, toxic: list[float], clean: list[float]) -> Lexicon:
     return Lexicon({t: v[1] / top for t, v in words.items()}, {t: v[1] / top for t, v in stems.items()})
 
 
+def _trust_edits(sample: DataFrame, lexicons: list[Lexicon], totals: dict[tuple[int, int], int]) -> list[Lexicon]:
+    """The lexicons of the sample and of its folds 0 and 1, each with the trust that its own rows give to edits."""
+
+    def run(batches):
+        held: Counter = Counter()
+        for batch in batches:
+            for text, fold, label in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for k in (0, fold + 1):
+                    held.update((k, t, label) for t in lexicons[k].edits(text.as_py()))
+        rows = list(held.items())
+        yield pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in rows], pa.int32()), pa.array([r[0][1] for r in rows], pa.string()), pa.array([r[0][2] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())], ["k", "term", "label", "n"])
+
+    # a row per lexicon, term and label at most
+    counts = sample.mapInArrow(run, "k int, term string, label int, n long").groupBy("k", "term", "label").agg(F.sum("n").alias("n")).collect()
+    out = []
+    for k, lexicon in enumerate(lexicons):
+        found = {label: Counter({r["term"]: r["n"] for r in counts if (r["k"], r["label"]) == (k, label)}) for label in (0, 1)}
+        size = {label: sum(v for (fold, x), v in totals.items() if x == label and k in (0, fold + 1)) for label in (0, 1)}
+        out.append(lexicon.trusting(found[1], found[0], size[1], size[0]) if size[0] and size[1] else lexicon)
+    return out
+
+
+def _place(order: Column) -> Column:
+    return F.pmod(F.xxhash64(order), F.lit(1 << 30))
+
+
+def _within(counts: dict[int, int], label: Column, place: Column, per_class: int) -> Column:
+    share = {k: int(min(1.0, per_class / n) * (1 << 30)) for k, n in counts.items()}
+    return place < F.when(label == 1, share.get(1, 0)).otherwise(share.get(0, 0))
+
+
+def pick(marks: DataFrame, label: str, order: Column, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of a table of labels that ``train`` would take, about ``per_class`` of each label: few enough to broadcast to the texts."""
+    marks = marks.where(F.col(label).isin(0, 1))
+    counts = {r[label]: r["count"] for r in marks.groupBy(label).count().collect()}
+    return marks.where(_within(counts, F.col(label), _place(order), per_class))
+
+
 def train(rows: DataFrame, text: str, label: str, order: Column, per_class: int = PER_CLASS) -> Model:
     """Fits on at most ``per_class`` rows of each label (0 or 1), those of the least ``order`` hash."""
     small_batches(rows.sparkSession)
-    rows = rows.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.pmod(F.xxhash64(order), F.lit(1 << 30)).alias("place"))
+    rows = rows.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), _place(order).alias("place"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
         return Model(Lexicon(), None)
-    share = {k: int(min(1.0, per_class / n) * (1 << 30)) for k, n in counts.items()}
-    picked = rows.where(F.col("place") < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
+    picked = rows.where(_within(counts, F.col("label"), F.col("place"), per_class))
     # the thresholds hold the sample to about its size; the limit proves the bound
     sample = picked.orderBy("place", "label", F.xxhash64("text")).limit(4 * per_class).select("text", (F.col("place") % 2).cast("int").alias("fold"), "label").repartition(16)
     sample = Scratch(rows.sparkSession, "toxicity").write(sample)  # read three times, so that the join before it runs once
@@ -276,6 +373,8 @@ def train(rows: DataFrame, text: str, label: str, order: Column, per_class: int
     lexicon = _choose([(r["term"], r["a"], r["b"]) for r in terms], size(1, (0, 1)), size(0, (0, 1)))
     halves = [_choose([(r["term"], r[f"c{2 * f + 1}"], r[f"c{2 * f}"]) for r in terms], size(1, (f,)), size(0, (f,))) for f in (0, 1)]
 
+    lexicon, *halves = _trust_edits(sample, [lexicon, *halves], totals)
+
     def run(batches):
         for batch in batches:
             out = [(*halves[1 - fold].features(text), label) for text, fold, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]

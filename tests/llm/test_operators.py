@@ -381,6 +381,28 @@ def test_automaton_equals_edit_distance():
         assert trie.near(w) == (min(near) if near else None)
 
 
+def test_automaton_reaches_short_terms_stems_and_first_letters():
+    rnd = random.Random(5)
+    word = lambda low, high: "".join(rnd.choice("abc") for _ in range(rnd.randint(low, high)))
+    for _ in range(10):
+        terms, stems = sorted({word(1, 8) for _ in range(12)}), sorted({word(4, 6) for _ in range(5)})
+        weights = {t: rnd.choice([0.2, 0.5, 1.0]) for t in [*terms, *(s + "*" for s in stems)]}
+        trie = toxicity.Trie(terms, stems, weights)
+        for _ in range(300):
+            w = word(1, 11).replace("c", rnd.choice("cd"))
+            near = [t for t in terms if distance(t, w) <= 1] + [s + "*" for s in stems if any(distance(s, w[:n]) <= 1 for n in range(len(w) + 1))]
+            assert trie.near(w, same_first=False) == min(near, key=lambda t: (-weights[t], t), default=None)
+
+
+def test_toxicity_finds_edits_of_every_term():
+    lexicon = toxicity.Lexicon({"trash": 1.0, "scum": 0.9, "loser": 0.3}, {"idiot": 0.4})
+    assert [lexicon.look_up(w) for w in ("drash", "skum", "lozer", "idjotic", "odiots")] == [("trash", 0.5), ("scum", 0.45), ("loser", 0.15), ("idiot*", 0.2), ("idiot*", 0.2)]
+    assert lexicon.look_up("harmless") is None and lexicon.look_up("x" * 70_000) is None
+    # rows with an edit are clean as often as toxic: such edits weigh nothing; no rows with one: as if untested
+    trusted = lexicon.trusting(toxicity.Counter({"loser": 10}), toxicity.Counter({"loser": 40}), 100, 300)
+    assert trusted.look_up("lozer") is None and trusted.look_up("skum") == ("scum", 0.45)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rnd = random.Random(1)
     plain = ["".join(rnd.choice(["an", "re", "in", "th", "er", "ou"]) for _ in range(rnd.randint(1, 4))) for _ in range(300)]
