@@ -2,7 +2,9 @@
 
 From the sizes of the old shards and the capacities of the new ones, ``solve_flow``
 finds the block transfers that move the fewest bytes; ``reshard`` gives every row
-its new shard and slot, and ``rewrite`` writes only the shards whose rows change.
+its new shard and slot, and ``rewrite`` writes only the shards whose rows change, whole
+rows of the stored layout that ``write_layout`` made and ``stored`` reads.  The plan has
+narrow rows; they meet the texts again by file and place in it, which no two rows share.
 
 Old shards are ordered in blocks of hashed keys.  A flow from old shard *i* to new
 shard *j* is an interval of *i*'s bytes in that order, so that an assignment needs
@@ -12,7 +14,7 @@ is off its capacity by less than one row per interval.
 
 Defined results: a null text has size 1; rows that repeat an id are ordered by size
 and checksum and get slots of their own; a null id hashes as the empty text; an
-empty table gives no rows; other input columns are left out.
+empty table gives no rows; columns besides id and text are left out.
 """
 
 from __future__ import annotations
@@ -151,10 +153,11 @@ def _interval(plan: list[tuple[int, int, int, int]]) -> Column:
     return (out if out is not None else F.lit(0)).cast("int")
 
 
-def rewrite(spark: SparkSession, placed: DataFrame, path: str, version: int) -> DataFrame:
+def rewrite(spark: SparkSession, placed: DataFrame, path: str, version: int, texts: DataFrame | None = None) -> DataFrame:
     """Writes the shards that gain or lose rows under ``path/v<version>/shard=<n>``; returns a manifest (shard, moved_in, moved_out, version).
 
     A shard that keeps exactly its rows isn't written again: its manifest version is null, so its old files stay in use.
+    ``texts`` (file, place, text) are the stored rows that ``placed``, then with file and place, was planned from.
     """
     moved = F.col("old") != F.col("shard")
     gains = placed.where(moved).groupBy("shard").agg(F.count(F.lit(1)).alias("moved_in"))
@@ -163,10 +166,44 @@ def rewrite(spark: SparkSession, placed: DataFrame, path: str, version: int) ->
     manifest = every.join(gains, "shard", "left").join(losses, "shard", "left").na.fill(0, ["moved_in", "moved_out"])
     manifest = manifest.withColumn("version", F.when(F.col("moved_in") + F.col("moved_out") > 0, F.lit(version)))
     affected = manifest.where(F.col("version").isNotNull()).select("shard")
-    placed.join(F.broadcast(affected), "shard", "left_semi").repartition("shard", F.pmod(F.xxhash64("slot"), F.lit(16))).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(f"{path}/v{version}")
+    rows = placed.join(F.broadcast(affected), "shard", "left_semi")
+    if texts is None:
+        rows = rows.repartition("shard", F.pmod(F.xxhash64("slot"), F.lit(16)))
+    else:
+        # texts move once, by their place; each task then writes a file of each shard it has rows of
+        rows = texts.join(rows.select("file", "place", "key", "old", "shard", "slot"), ["file", "place"]).drop("file", "place")
+    rows.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(f"{path}/v{version}")
     return manifest
 
 
+def write_layout(docs: DataFrame, old_shards: int, path: str) -> None:
+    """Writes the old layout, key and text, under ``path/v0/shard=<n>``; it deals by a checksum of the id."""
+    shard = id_mod(F.col("doc_id"), old_shards).cast("int")
+    docs.select(F.col("doc_id").alias("key"), "text", shard.alias("shard")).write.option("compression", "zstd").partitionBy("shard").parquet(f"{path}/v0")
+
+
+def stored(spark: SparkSession, path: str, key_type: str) -> DataFrame:
+    """file, place, key, text and old shard of every row of the old layout."""
+    files = spark.read.schema(f"key {key_type}, text string, shard int").parquet(f"{path}/v0")
+    return files.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"), "key", "text", F.col("shard").alias("old"))
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """Rows with size and crc of their text in its stead."""
+    return rows.withColumn("size", text_size(F.col("text"))).withColumn("crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).drop("text")
+
+
+def read_layout(spark: SparkSession, path: str, version: int, manifest: DataFrame, placed: DataFrame, key_type: str) -> DataFrame:
+    """key, text, old, shard and slot of every row, from the rewritten files and, for shards that kept their rows, the old ones."""
+    fresh = spark.read.schema(f"key {key_type}, text string, old int, slot long, shard int").parquet(f"{path}/v{version}")
+    out = fresh.select("key", "text", "old", "shard", "slot")
+    kept = [r["shard"] for r in manifest.where("version is null").select("shard").collect()]  # a row per shard
+    if kept:
+        slots = placed.where(F.col("shard").isin(kept)).select("file", "place", "shard", "slot")
+        out = out.union(stored(spark, path, key_type).where(F.col("old").isin(kept)).join(slots, ["file", "place"]).select("key", "text", "old", "shard", "slot"))
+    return out
+
+
 def from_documents(docs: DataFrame, old_shards: int) -> DataFrame:
     """key, old, size and crc of every text; the old layout deals by a checksum of the id."""
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairngraph.llm import bpe, components, iblt, langid, minhash, mixing, q_mixing, scratch, secrets, sharding, shingles, tiff, toxicity, warc
+from cairngraph.llm import bpe, components, iblt, langid, minhash, mixing, q_mixing, q_sharding, scratch, secrets, sharding, shingles, tiff, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -358,6 +358,36 @@ def test_reshard_is_even_gapless_and_rewrites_only_what_changes(spark, tmp_path)
     assert sharding.reshard(sharding.from_documents(docs(spark, []), 5), 7).count() == 0
 
 
+def test_reshard_rewrites_whole_texts(spark, tmp_path):
+    """Files of the shards that change hold every text once, repeated and null ids too; a shard that keeps its rows stays as it is."""
+    rows = [(i, t) for i, t in random_texts(300)] + [(None, "n"), (3, "again"), (3, "again"), (9001, None)]
+    for old, new, capacities in ((5, 7, None), (3, 3, [1 << 30] * 3)):
+        path = str(tmp_path / f"{old}-{new}")
+        sharding.write_layout(docs(spark, rows), old, path)
+        stored = sharding.stored(spark, path, "long")
+        placed = scratch.Scratch(spark, "t").write(sharding.reshard(sharding.measured(stored), new, capacities, block_rows=50))
+        manifest = sharding.rewrite(spark, placed, path, 2, stored.select("file", "place", "text"))
+        back = sharding.read_layout(spark, path, 2, manifest, placed, "long").collect()
+        assert sorted(map(repr, ((r["key"], r["text"]) for r in back))) == sorted(map(repr, rows))
+        plan = {(r["shard"], r["slot"]): (r["key"], r["old"], r["crc"]) for r in placed.collect()}
+        assert {(r["shard"], r["slot"]): (r["key"], r["old"], zlib.crc32((r["text"] or "").encode())) for r in back} == plan
+        assert {r["shard"]: r["version"] for r in manifest.collect()} == {i: 2 if old != new else None for i in range(new)}
+        assert len(list((tmp_path / f"{old}-{new}" / "v2").glob("shard=*"))) == (new if old != new else 0)
+
+
+def test_reshard_query_leaves_rewritten_shards(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(q_sharding.sharding, "rewrite", lambda *a, f=sharding.rewrite: written.append(a[2]) or f(*a))
+    out = q_sharding.op7_reshard(spark, "/root/testdata/sf0.001").collect()
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    files = spark.read.parquet(f"{written[0]}/v1").collect()
+    still = {r["shard"] for r in out} - {r["shard"] for r in out if r["shard"] != r["old_shard"]} - {r["old_shard"] for r in out if r["shard"] != r["old_shard"]}
+    assert {r["key"]: r["text"] for r in files} == {r["doc_id"]: text[r["doc_id"]] for r in out if r["shard"] not in still}
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in out if r["shard"] not in still} == {r["key"]: (r["shard"], r["slot"]) for r in files}
+    assert sorted(r["doc_id"] for r in out) == sorted(text) and files
+    assert all((r["size"], r["text_crc32"]) == (len((text[r["doc_id"]] or "").encode()) + 1, zlib.crc32((text[r["doc_id"]] or "").encode())) for r in out)
+
+
 # ---- op8 -----------------------------------------------------------------------------------------
 
 
