@@ -56,11 +56,11 @@ def coverage_widest(spark, sf_dir):
 
 
 def grounding_verdict(spark, sf_dir):
-    """First lines of documents quoted: some altered, some attributed to nothing, some never read."""
+    """Whole documents quoted: some altered, some attributed to nothing, some never read."""
     docs = Graph(spark, sf_dir).table("documents")
-    first = F.split("text", "\n")[0]
-    quotes = docs.select(F.col("doc_id").alias("quote"), F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("doc_id")).alias("entity"), F.lit("en").alias("language"), F.when(F.col("doc_id") % 5 == 0, F.concat(first, F.lit("!"))).otherwise(first).alias("text"))
-    stored = docs.select(F.col("doc_id").alias("entity"), F.col("lang").alias("language"), first.alias("text"))
+    text = F.col("text")
+    quotes = docs.select(F.col("doc_id").alias("quote"), F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("doc_id")).alias("entity"), F.lit("en").alias("language"), F.when(F.col("doc_id") % 5 == 0, F.concat(text, F.lit("!"))).otherwise(text).alias("text"))
+    stored = docs.select(F.col("doc_id").alias("entity"), F.col("lang").alias("language"), "text")
     reads = docs.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("entity"), F.when(F.col("doc_id") % 4 == 0, "en").otherwise(F.col("lang")).alias("language"))
     return evaluate.grounding(quotes, stored, reads).select("quote", "verdict")
 

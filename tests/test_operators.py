@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairngraph.functions import canonical, ids, text
 from cairngraph.operators import build, evaluate, hubs, nav, semantic, traverse
+from cairngraph.plans import eval_queries
 
 
 def test_item_numbers(spark):
@@ -124,3 +125,16 @@ def test_smallest_shortest_path(spark):
     parents = spark.createDataFrame([(1, 3), (1, 2), (2, 4), (3, 4), (4, 4)], "child long, parent long")
     rows = traverse.ancestor_paths(spark.createDataFrame([(1,)], "anchor long"), parents, 3).where("ancestor = 4").collect()
     assert [(r["distance"], r["path"]) for r in rows] == [(2, [1, 2, 4])]
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_grounding_verdict_holds_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(eval_queries.evaluate, "grounding", lambda *a, f=evaluate.grounding: seen.append(a) or f(*a))
+    eval_queries.grounding_verdict(spark, FOLDER)
+    whole = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    quotes, stored, _ = seen[0]
+    assert {r["entity"]: r["text"] for r in stored.collect()} == whole
+    assert {r["quote"]: r["text"] for r in quotes.collect()} == {i: t + "!" if i % 5 == 0 else t for i, t in whole.items()}
