@@ -31,7 +31,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node that has an edge; component is the smallest node reachable.
 
-    ``edges`` has long columns a and b in any direction; self loops and repeats are harmless;
+    The result is a table of ``scratch``.  ``edges`` has long columns a and b in any direction; self loops and repeats are harmless;
     no edges give no rows.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -46,4 +46,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
         mark_before = mark
     # a star forest now: every edge is (node, smallest)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = scratch.write(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
+    scratch.drop(now)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,20 +11,25 @@ from pyspark.sql import functions as F
 
 from ..workers import reach
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows, and bytes, of one Arrow batch; a larger row is a batch of its own.
+ROWS, BYTES = 1000, 4 << 20
+#: A key that holds more than this part of the rows is hot, so there are fewer hot keys than its inverse; and the parts that a hot key is dealt in.
+HOT, DEALT = 0.002, 64
 #: Words of the corpus contracts: runs without space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or our own only where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or our own where it is unset and one machine does all (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             return held
-        path = "file://" + tempfile.mkdtemp(prefix="cairngraph-")
-        spark.sparkContext.setCheckpointDir(path)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cairngraph-"))
         return spark.sparkContext.getCheckpointDir()
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
@@ -64,11 +70,30 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of one Arrow batch, so that a worker holds a few MB of text at a time, and let workers find this package."""
+def small_batches(spark: SparkSession) -> None:
+    """Bound an Arrow batch by rows and by bytes, so that a worker holds a few MB of text at a time, and let workers find this package.
+
+    Settings are read when a plan runs, so they stay; smaller ones of the session are kept.
+    """
     reach(spark)
-    if int(spark.conf.get(BATCH)) > rows or int(spark.conf.get(BATCH)) <= 0:
-        spark.conf.set(BATCH, str(rows))
+    for name, most in ((BATCH, ROWS), (BATCH_BYTES, BYTES)):
+        now = int(re.sub(r"\D", "", spark.conf.get(name).split("b")[0]) or 0) if not spark.conf.get(name).startswith("-") else 0
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
+def dealt_join(many: DataFrame, one: DataFrame, key: str, by: str, counted: DataFrame) -> DataFrame:
+    """``many`` joined to the rows of ``one`` by ``key``, of which ``one`` has each once: hot keys are dealt in DEALT parts by ``by``, and their row of ``one`` is copied to each.
+
+    ``counted`` is a written table with the keys of ``many``.  At most 1 / HOT keys are broadcast.
+    """
+    least = max(1000, int(counted.count() * HOT))
+    hot = F.broadcast(counted.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > least).select(key, F.lit(True).alias("_hot")))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(DEALT)).cast("int")).otherwise(0)
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(DEALT - 1))).otherwise(F.array(F.lit(0)))
+    left = many.join(hot, key, "left").withColumn("_part", part).drop("_hot")
+    right = one.join(hot, key, "left").withColumn("_part", F.explode(parts)).drop("_hot")
+    return left.join(right, [key, "_part"]).drop("_part")
 
 
 def id_mod(column: Column, n: int) -> Column:

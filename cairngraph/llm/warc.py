@@ -124,8 +124,7 @@ def write(rows: DataFrame, page: str, url: str, payload: str, path: str) -> None
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    # a file is a row; few of them at a time in a worker
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    small_batches(spark)  # a file is a row, and larger than a batch should be
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 

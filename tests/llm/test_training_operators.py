@@ -96,14 +96,30 @@ def test_blocks_link_what_a_bucket_holds(spark, monkeypatch, block):
     for i in range(10):
         s = np.unique(np.concatenate([base[: 390 - i] if i < 8 else rnd.integers(0, 1 << 63, 380, dtype=np.uint64), rnd.integers(0, 1 << 63, 10, dtype=np.uint64)]))
         m = h.minima(s)
-        members.append((0, 77, 10, 4000, i, i, len(s), bytearray((m & 255).astype(np.uint8).tobytes()), [77] + [1000 * i + k for k in range(31)], bytearray(s.tobytes())))
-    df = spark.createDataFrame(members, "band int, key long, members long, hashed long, id long, component long, n long, sig binary, keys array<long>, hashes binary")
-    links = minhash._block_links(df, 80)
+        members.append((0, 77, i, i, len(s), bytearray((m & 255).astype(np.uint8).tobytes()), [77] + [1000 * i + k for k in range(31)], bytearray(s.tobytes())))
+    df = spark.createDataFrame(members, "band int, key long, id long, component long, n long, sig binary, keys array<long>, hashes binary")
+    mixed = minhash._mixed(df.select(F.col("component").alias("c_id"), "n", "keys"), 80)
+    assert mixed.count() == 1
+    links = minhash._block_links(df.join(mixed, "key"), 80)
     assert links.count() <= 28
     got = {r["node"]: r["component"] for r in components.components(links, scratch.Scratch(spark, "t")).collect()}
     assert got == {i: 0 for i in range(8)}
 
 
+def test_linked_sizes_are_in_neighbouring_classes(spark):
+    pairs = [(n, -(-n * 80 // 100)) for n in range(1, 3000)]
+    got = {r["n"]: r["class"] for r in spark.range(1, 3000).withColumnRenamed("id", "n").select("n", minhash._size_class(80).alias("class")).collect()}
+    assert all(got[n] - got[m] <= 1 for n, m in pairs)
+
+
+def test_a_hot_key_is_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "HOT", 0.1)
+    many = scratch.Scratch(spark, "t").write(spark.range(5000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")))
+    one = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    got = scratch.dealt_join(many, one, "k", "v", many)
+    assert got.columns == ["k", "v", "w"] and {tuple(r) for r in got.collect()} == {(0 if i < 3000 else i, i, 0 if i < 3000 else 2 * i) for i in range(5000)}
+
+
 def test_components_by_stars(spark):
     rnd = random.Random(4)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 340)] + [(500, 500 + i) for i in range(60)]
@@ -218,6 +234,12 @@ def test_language_without_training_rows(spark):
     assert only.predict(langid.vector("der hund")) == ("en", 1.0)
 
 
+def test_no_language_is_left_out_and_repeats_count_once(spark):
+    rows = [(i, "".join(chr(97 + (i % 300 + j * 7) % 26) for j in range(30)), f"l{i % 300}") for i in range(900)] + [(-i, "again and again", "l0") for i in range(500)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", F.col("doc_id"), most=1000)
+    assert len(model.families) == 300
+
+
 # ---- op4 -----------------------------------------------------------------------------------------
 
 
@@ -267,28 +289,56 @@ def test_warc_of_no_pages(spark):
 # ---- op5 -----------------------------------------------------------------------------------------
 
 
-def test_raking_meets_the_marginals():
+def test_raking_meets_the_marginals(spark):
     rnd = random.Random(3)
     cells = {(a, b, c): rnd.randint(1, 1000) for a in "xyz" for b in "pq" for c in "uv"}
     targets = [{"x": 0.5, "y": 0.3, "z": 0.2, "absent": 0.4}, {"p": 0.9, "q": 0.1}, {"u": 0.25, "v": 0.75}]
-    w = mixing.rake(cells, targets, 60)
+    dims = ["source", "language", "topic"]
+    df = wanted = spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, language string, topic string, tokens long")
+    for d, t in zip(dims, targets, strict=True):
+        wanted = wanted.join(mixing._target(df, d, t), d)
+    raked = mixing.rake(wanted, dims, scratch.Scratch(spark, "t"), 60)
+    w = {tuple(r[d] for d in dims): r["weight"] for r in raked.collect()}
     for i, t in enumerate(targets):
         held = sum(t[v] for v in {k[i] for k in cells})
         for v in {k[i] for k in cells}:
             assert abs(sum(x for k, x in w.items() if k[i] == v) - t[v] / held) < 1e-9
-    c = mixing.factor([(cells[k], w[k]) for k in cells], 0.4 * sum(cells.values()))
+    c = mixing.factor(raked, 0.4 * sum(cells.values()))
     assert abs(sum(min(cells[k], c * w[k]) for k in cells) - 0.4 * sum(cells.values())) < 1e-6
 
 
-def test_mixing_alike_on_the_driver_and_as_frames(spark):
+def plain_probabilities(held):
+    """The same rounds over a dictionary of cells."""
+    total = sum(held.values())
+    shares = []
+    for i in range(3):
+        raised = {v: (sum(n for k, n in held.items() if k[i] == v) / total) ** mixing.TEMPER for v in {k[i] for k in held}}
+        shares.append({v: x / sum(raised.values()) for v, x in raised.items()})
+    w = {k: float(n) for k, n in held.items()}
+    for _ in range(mixing.ROUNDS):
+        for i in range(3):
+            sums = {v: sum(x for k, x in w.items() if k[i] == v) for v in shares[i]}
+            w = {k: x * shares[i][k[i]] / sums[k[i]] for k, x in w.items()}
+    c, before = 0.0, -1.0
+    while c > before:
+        before = c
+        open_ = sum(x for k, x in w.items() if c * x < held[k])
+        c = (mixing.BUDGET * total - sum(n for k, n in held.items() if c * w[k] >= n)) / open_ if open_ else c
+    return {k: min(1.0, c * x / held[k]) for k, x in w.items()}
+
+
+def test_mixing_equals_the_plain_rounds(spark):
     rnd = random.Random(8)
     rows = [(i, " ".join(["w"] * rnd.randint(0, 1200)), rnd.choice(["a", "a", "b", None]), rnd.choice(["en", "fr", ""]), 3) for i in range(120)] + [(7, None, "c", "de", 1), (None, "x", "a", "en", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, tokens int")
-    near = mixing.mix(df, "doc_id", "text", "source", "lang")
-    far = mixing.mix(df, "doc_id", "text", "source", "lang", max_cells=0)
-    pick = lambda d: sorted((r["doc_id"] or -1, r["_mix_topic"], round(r["_mix_p"], 9), r["_mix_kept"], r["tokens"]) for r in d.collect())
-    a = pick(near)
-    assert a == pick(far) and len(a) == len(rows) and 0 < sum(x[3] for x in a) < len(rows)
+    got = mixing.mix(df, "doc_id", "text", "source", "lang").collect()
+    held = {}
+    for r in got:
+        k = (r["source"], r["language"], r["topic"])
+        held[k] = held.get(k, 0) + r["tokens"]
+    wanted = plain_probabilities(held)
+    assert len(got) == len(rows) and 0 < sum(r["kept"] for r in got) < len(rows)
+    assert all(r["p"] == pytest.approx(wanted[r["source"], r["language"], r["topic"]], abs=1e-9) for r in got)
     assert mixing.mix(df.limit(0), "doc_id", "text", "source", "lang").count() == 0
 
 
@@ -322,7 +372,47 @@ def test_secret_spans_equal_brute_force(spark):
 def test_redaction_merges_overlaps(spark):
     text = "a token = \"24be64439e3e49cf46b2d7c9\" b"
     df = spark.createDataFrame([(text, [(2, 0, 35), (11, 2, 35), (36, 2, 37)]), (text, [])], "text string, spans array<struct<s:int,k:int,e:int>>")
-    assert [r[0] for r in df.select(secrets.redacted(F.col("text"), F.col("spans"))).collect()] == ["a [SECRET]\"[SECRET]b", text]
+    assert [r[0] for r in df.select(secrets.redacted("text", "spans")).collect()] == ["a [SECRET]\"[SECRET]b", text]
+
+
+def plain_redaction(text, spans):
+    out, at = [], 0
+    for s, _, e in spans:
+        if s >= at:
+            out += [text[at:s], "[SECRET]"]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_of_many_spans_equals_the_plain_way(spark):
+    rnd, rows = random.Random(9), []
+    for n in (1, 30, 700):
+        text = "".join(rnd.choice("aé漢🙂\n ") for _ in range(12 * n))
+        cuts = sorted((rnd.randrange(len(text) - 1), rnd.randrange(3)) for _ in range(n))
+        rows.append((text, [(s, k, min(len(text), s + rnd.choice([1, 5, 40, 2000]))) for s, k in cuts]))
+    df = spark.createDataFrame(rows, "text string, spans array<struct<s:int,k:int,e:int>>")
+    assert [r[0] for r in df.select(secrets.redacted("text", "spans")).collect()] == [plain_redaction(*r) for r in rows]
+
+
+def test_sixteen_thousand_secrets_in_a_text_take_no_square_time(spark):
+    text = "".join(f"token = \"{hashlib.md5(str(i).encode()).hexdigest()}\" and some words\n" for i in range(16_000))
+    found = secrets.find(docs(spark, [(1, text)]), "text", [0.0] * 16384)
+    out = found.select(F.size("base").alias("n"), secrets.redacted("text", "spans").alias("t")).first()
+    assert out["n"] == 32_000 and out["t"] == "[SECRET]\" and some words\n" * 16_000
+
+
+def test_random_strings_are_told_from_words(spark):
+    """Keys that training hasn't seen, alone, after a path and beside a base span, and runs of ordinary words."""
+    rnd = random.Random(12)
+    bits = ["the", "ing", "err", "get", "Value", "name", "_", "list", "/", "user", "size", "Index"]
+    word = lambda n: "".join(rnd.choice(bits) for _ in range(n))
+    ratio = secrets.train(secrets.random_strings(spark.range(3000)).union(spark.createDataFrame([(word(6), 0) for _ in range(2000)], "sample string, label int")))
+    keys = [base64.b64encode(hashlib.sha256(f"k{i}".encode()).digest()).decode()[:32] for i in range(400)]
+    texts = [(i, f"see {('', word(15) + '/', '0123456789abcdef/')[i % 3]}{k} there") for i, k in enumerate(keys)] + [(1000 + i, f"see {word(12)} there") for i in range(400)]
+    got = {r["row"]["doc_id"]: [x for x in r["spans"] if x["k"] == 3] for r in secrets.find(docs(spark, texts), "text", ratio).collect()}
+    hit = sum(sum(min(x["e"], t.index(k) + 32) - max(x["s"], t.index(k)) for x in got[i]) >= 24 for (i, t), k in zip(texts, keys))
+    false = sum(bool(got[1000 + i]) for i in range(400))
+    assert hit / 400 >= 0.97 and false / 400 <= 0.01
 
 
 # ---- op7 -----------------------------------------------------------------------------------------
@@ -503,7 +593,23 @@ def test_fingerprints_equal_brute_force(spark):
 
 def test_sketches_grow_until_they_peel(spark):
     df = spark.createDataFrame([([*range(1, 400)], [*range(200, 700)]), ([], []), ([5], [5]), ([1], [])], "a array<long>, b array<long>")
-    assert [r[0] for r in df.select(F.expr(iblt.differing("a", "b"))).collect()] == [199 + 300, 0, 0, 1]
+    # one group of far too many differences, and the groups that such texts are dealt in
+    for bits in ("0", f"greatest({iblt.levels('a')}, {iblt.levels('b')})"):
+        found = df.select(F.expr(iblt.differing("a", "b", iblt.sketches("a", bits), iblt.sketches("b", bits), bits)).alias("d")).collect()
+        assert [(sorted(r.d.plus), sorted(r.d.minus)) for r in found] == [([*range(1, 200)], [*range(400, 700)]), ([], []), ([], []), ([1], [])]
+
+
+def test_printed_fingerprints_hold_the_sketches(spark):
+    """The differences of two texts come back from their printed fingerprints alone."""
+    a, b = [f"line {i}" for i in range(6)], [f"line {i}" for i in range(3, 9)]
+    held = spark.createDataFrame([("\n".join(a), "\n".join(b))], "a string, b string").selectExpr(*[f"{iblt.digests(x)} AS {x}" for x in "ab"])
+    r = held.selectExpr("a", "b", *[f"{iblt.line(iblt.sketches(x, '0'))} AS f{x}" for x in "ab"]).first()
+    cells = [[tuple(int(v, 16) if k else int(v) for k, v in enumerate(c.split("."))) if c else (0, 0, 0) for c in f.split(" ")] for f in (r.fa, r.fb)]
+    left = [(x[0] - y[0], x[1] ^ y[1]) for x, y in zip(*cells, strict=True)]
+    assert len(left) == 3 * iblt.TABLE
+    alone = {(n, k) for n, k in left if n in (1, -1)}
+    wanted = {(1, x & (1 << 64) - 1) for x in set(r.a) - set(r.b)} | {(-1, x & (1 << 64) - 1) for x in set(r.b) - set(r.a)}
+    assert alone & wanted and len(wanted) == 6
 
 
 def test_next_of_one_and_of_none(spark):
@@ -513,6 +619,18 @@ def test_next_of_one_and_of_none(spark):
     assert len(repeated) == 4 and {r["key"]: r["next_text"] for r in repeated}[None] == "d"
 
 
+@pytest.mark.parametrize("bounds", [4, 4096])
+def test_next_of_hot_keys_and_many_buckets(spark, monkeypatch, bounds):
+    monkeypatch.setattr(iblt, "BOUNDS", bounds)
+    rows = [(7, f"t{i}") for i in range(300)] + [(None, f"n{i}") for i in range(200)] + [(i, f"x{i}") for i in range(-40, 400)] + [(5_000_000_000 + 977 * i, f"y{i}") for i in range(60)]
+    rows = [r for r in rows if r[0] != 7 or r[1] != "x7"]
+    df = docs(spark, rows)
+    hashed = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), hashed[r[1]]))
+    got = iblt.with_next(df, "doc_id", "text", bucket=10).collect()
+    assert {(r["key"], r["text"], r["next_text"]) for r in got} == {(i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)} and len(got) == len(rows)
+
+
 # ---- op10 ----------------------------------------------------------------------------------------
 
 
