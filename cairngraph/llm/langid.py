@@ -4,8 +4,9 @@ Features are hashed counts of 1 to 4 letter runs of the whole lower-cased text,
 scaled to unit length.  Families are separated by one machine each against the rest; the
 languages of a family by a machine per pair, which vote.
 
-Training reads a bounded sample: at most ``per_language`` texts of each language, those with
-the smallest hashes of their ids, so that it doesn't depend on the order of rows.
+Training reads a bounded sample: about ``per_language`` texts of each language, those with
+the smallest hashes of their ids, so that it doesn't depend on the order of rows.  No language
+is left out.
 
 Defined results: ``und`` with score 0 for null text, text without a letter, and whenever
 nothing was learned; rows without a language train nothing; equal texts get equal results;
@@ -22,14 +23,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.functions import arrow_udf
 
 from .scratch import small_batches
 
 UNKNOWN = "und"
 DIMENSIONS = 8192
-PER_LANGUAGE = 400
-MAX_LANGUAGES = 200
+#: Texts of one language, and of all, that training reads; each takes 48 KB on the driver.
+PER_LANGUAGE, SAMPLE_ROWS = 400, 10_000
 # Language codes by family.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"),
@@ -146,31 +147,28 @@ def _likely(margin: float) -> float:
     return float(1 / (1 + np.exp(-2.5 * margin)))
 
 
-def train(rows: DataFrame, text: str, language: str, order: Column, per_language: int = PER_LANGUAGE) -> Model:
-    """Fits on at most ``per_language`` texts per language (those of the least ``order`` hash) and 200 languages."""
-    spark = rows.sparkSession
-    small_batches(spark)
+def train(rows: DataFrame, text: str, language: str, order: Column, per_language: int = PER_LANGUAGE, most: int = SAMPLE_ROWS) -> Model:
+    """Fits on about ``per_language`` texts of every language (those of the least ``order`` hash), fewer of each if all languages would have more than ``most``."""
+    small_batches(rows.sparkSession)
     rows = rows.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(language).alias("language"), F.pmod(F.xxhash64(order), F.lit(1 << 30)).alias("place"))
-    counts = rows.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("language").count().collect()  # a row per language
     if not counts:
         return Model()
-    cut = F.lit(0)
-    for r in counts:
-        share = min(1.0, per_language / r["count"])
-        cut = F.when(F.col("language") == r["language"], F.lit(int(share * (1 << 30)))).otherwise(cut)
-    picked = rows.where(F.col("place") < cut)
+    each = max(1, min(per_language, most // len(counts)))
+    cuts = rows.sparkSession.createDataFrame([(r["language"], int(min(1.0, each / r["count"]) * (1 << 30))) for r in counts], "language string, cut long")
+    # equal texts count once, so that rows repeated without end stay one row
+    picked = rows.join(F.broadcast(cuts), "language").where("place < cut").select("text", "language").distinct()
 
     def run(batches):
         for batch in batches:
             names, data = [], []
-            for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                v = vector(text)
+            for text, name in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                v = vector(text.as_py())
                 if v is not None:
                     names.append(name), data.append(v.astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(data, pa.binary())], ["language", "v"])
 
-    # the thresholds hold the sample to about its size; the limit proves the bound
-    found = picked.orderBy("place", "language").limit(2 * per_language * len(counts)).select("text", "language").mapInArrow(run, "language string, v binary").collect()
+    found = picked.mapInArrow(run, "language string, v binary").collect()
     if not found:
         return Model()
     found.sort(key=lambda r: (r["language"], bytes(r["v"])))
@@ -192,18 +190,16 @@ def identify(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, lang_pred string, score double")
 
 
-
-
-def tag(df: DataFrame, text: str, model: Model, language: str, score: str) -> DataFrame:
-    """All columns of df, and the predicted language and its score under the given names."""
+def tag(df: DataFrame, text: str, model: Model) -> DataFrame:
+    """row (a struct of all columns of df, whatever their names), and the predicted language and its score; only the text goes to the workers."""
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    @arrow_udf("struct<language:string,score:double>")
+    def predicted(texts: pa.Array) -> pa.Array:
         held = shared.value
-        for batch in batches:
-            found = [held.predict(vector(x.as_py())) for x in batch.column(batch.schema.get_field_index(text))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, language, score])
+        found = [held.predict(vector(x.as_py())) for x in texts]
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["language", "score"])
 
-    schema = StructType([*df.schema.fields, StructField(language, StringType()), StructField(score, DoubleType())])
-    return df.mapInArrow(run, schema)
+    rows = df.select(F.struct("*").alias("row"), predicted.asNondeterministic()(F.col(text)).alias("found"))  # once a row, wherever it is used
+    return rows.select("row", "found.language", "found.score")
