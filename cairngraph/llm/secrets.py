@@ -1,10 +1,9 @@
 """Secret scans with DataFrame and SQL functions only.
 
 Base patterns find assignments, access keys and long hexadecimal runs.  Beside them,
-every run of 20 or more token letters is scored by two first-order Markov models of
-characters, one of random strings and one of ordinary identifiers, trained from labelled
-samples; a run whose log-likelihood ratio exceeds a level is a span of its own unless a
-base span overlaps it.
+every run of 20 or more token letters outside them is scored by two first-order Markov models
+of characters, one of random strings and one of ordinary identifiers, trained from labelled
+samples; each stretch of a run whose log-likelihood ratio exceeds a level is a span of its own.
 
 Positions come from the pieces between matches: ``split`` by the same pattern gives their
 lengths, and running sums over chunks of matches give starts, so a text with very many
@@ -30,7 +29,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: Runs that the models judge, the level in nats that they must exceed, and matches summed at a time.
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 LEVEL = 12.0
-CHUNK = 256
+#: The shortest stretch of a run that is a span, spans or matches summed at a time, and letters of the pieces that texts are cut in.
+LEAST, CHUNK, PIECE = 20, 256, 1024
 #: Documents that give ordinary words, and generated random strings, for training.
 ORDINARY_DOCUMENTS, RANDOM_STRINGS = 400, 3000
 
@@ -106,9 +106,41 @@ def train(samples: DataFrame) -> list[float]:
     return ratio
 
 
-def _score(run: str, table: str) -> str:
-    codes = f"transform(split({run}, ''), c -> ascii(c))"
-    return f"element_at(transform(array({codes}), q -> aggregate(zip_with(slice(q, 1, size(q) - 1), slice(q, 2, size(q) - 1), (a, b) -> element_at({table}, a * 128 + b + 1)), 0D, (a, x) -> a + x)), 1)"
+def _ratios(run: str, table: str) -> str:
+    """SQL for the log-likelihood ratios of a run's pairs of characters."""
+    return f"element_at(transform(array(transform(split({run}, ''), c -> ascii(c))), q -> zip_with(slice(q, 1, size(q) - 1), slice(q, 2, size(q) - 1), (a, b) -> element_at({table}, a * 128 + b + 1))), 1)"
+
+
+def _stretches(run: str, table: str, level: float) -> str:
+    """SQL for array<struct<s, e>>, the stretches of a run that random strings explain better by more than ``level`` nats.
+
+    A stretch begins where the sum of ratios leaves 0, ends at the sum's peak, and is over when the
+    sum falls to 0 or by the level below the peak; so what stands beside a random string doesn't hide it.
+    """
+    none = "cast(array() AS array<struct<s:int,e:int>>)"
+    held = f"if(a.peak > {level}D AND a.e - a.s >= {LEAST}, concat(a.out, array(named_struct('s', a.s, 'e', a.e))), a.out)"
+    over = f"named_struct('i', a.i + 1, 's', a.i + 1, 'e', a.i + 1, 'now', 0D, 'peak', 0D, 'out', {held})"
+    on = "named_struct('i', a.i + 1, 's', a.s, 'e', if(a.now + x > a.peak, a.i + 2, a.e), 'now', a.now + x, 'peak', greatest(a.peak, a.now + x), 'out', a.out)"
+    return f"aggregate({_ratios(run, table)}, named_struct('i', 0, 's', 0, 'e', 0, 'now', 0D, 'peak', 0D, 'out', {none}), (a, x) -> if(a.now + x <= 0D OR a.now + x < a.peak - {level}D, {over}, {on}), a -> {held})"
+
+
+def _reached(spans: str) -> str:
+    """SQL: sorted spans with p, the furthest end of the spans before each; sums run over chunks, so the cost is about linear."""
+    chunks = f"transform(sequence(0, (size(z) - 1) div {CHUNK}), i -> slice(z, i * {CHUNK} + 1, {CHUNK}))"
+    none = "cast(array() AS array<struct<s:int,e:int,p:int>>)"
+    walk = f"""aggregate(k, named_struct('at', aggregate(slice(m, 1, i), 0, (a, x) -> greatest(a, x)), 'out', {none}),
+        (a, x) -> named_struct('at', greatest(a.at, x.e), 'out', concat(a.out, array(named_struct('s', x.s, 'e', x.e, 'p', a.at)))), a -> a.out)"""
+    return f"flatten(transform(array({spans}), z -> flatten(transform(array({chunks}), c -> flatten(transform(array(transform(c, k -> array_max(transform(k, x -> x.e)))), m -> flatten(transform(c, (k, i) -> {walk}))))))))"
+
+
+def _spliced(text: str, spans: str, filler: str) -> str:
+    """SQL for the text in which each span's own part gives way to ``filler`` (SQL over x: s, e, p); letters are cut from pieces of the text, so that a far span costs no more than a near one."""
+    piece = lambda low, high: f"if({high} <= {low}, '', substr(array_join(slice(ts, {low} div {PIECE} + 1, ({high} - 1) div {PIECE} - {low} div {PIECE} + 1), ''), {low} % {PIECE} + 1, {high} - {low}))"
+    body = f"array_join(transform(rs, x -> concat({piece('x.p', 'x.s')}, {filler})), '')"
+    end = "array_max(transform(rs, x -> x.e))"
+    tail = f"element_at(transform(array({end}), z -> {piece('z', 'n')}), 1)"
+    whole = f"element_at(transform(array({_reached(spans)}), rs -> element_at(transform(array(regexp_extract_all({text}, '(?s).{{1,{PIECE}}}', 0)), ts -> element_at(transform(array(length({text})), n -> concat({body}, {tail})), 1)), 1)), 1)"
+    return f"if(size({spans}) = 0, {text}, {whole})"
 
 
 def find(df: DataFrame, text: str, ratio: list[float], level: float = LEVEL) -> DataFrame:
@@ -120,10 +152,12 @@ def find(df: DataFrame, text: str, ratio: list[float], level: float = LEVEL) ->
     access = _positions("text", ACCESS, "contains(text, 'AKIA')")
     rows = rows.withColumn("access", F.expr(f"filter({access}, x -> length(x.t) >= {ACCESS_LETTERS})"))
     rows = rows.withColumn("hex", F.expr(_positions("text", HEX, _holds(HEX))))
-    rows = rows.withColumn("runs", F.expr(f"filter({_positions('text', RUN, _holds(RUN))}, x -> {_score('x.t', table)} > {level}D)"))
     rows = rows.withColumn("base", F.array_sort(F.concat(_spans(F.col("assign"), "assign"), _spans(F.col("access"), "access"), _spans(F.col("hex"), "hex"))))
-    rows = rows.withColumn("added", F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"]))))
-    return rows.withColumn("spans", F.array_sort(F.concat("base", _spans(F.col("added"), "random")))).drop("runs", "added")
+    # base spans become as many spaces, so that the models judge what is left of a run beside them
+    rows = rows.withColumn("masked", F.expr(_spliced("text", "base", "repeat(' ', greatest(0, x.e - greatest(x.s, x.p)))")))
+    runs = _positions("masked", RUN, f"masked RLIKE '{_quoted(RUN)}'")
+    rows = rows.withColumn("added", F.expr(f"flatten(transform({runs}, r -> transform({_stretches('r.t', table, level)}, x -> named_struct('s', r.s + x.s, 'e', r.s + x.e))))"))
+    return rows.withColumn("spans", F.array_sort(F.concat("base", _spans(F.col("added"), "random")))).drop("masked", "added")
 
 
 def line(spans: Column) -> Column:
@@ -132,13 +166,6 @@ def line(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every stretch of overlapping spans replaced by one mark; ``spans`` is sorted."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        new = F.concat(a["out"], F.array(F.substr(text, a["at"] + 1, x["s"] - a["at"]), F.lit(mark)))
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] >= a["at"], new).otherwise(a["out"]).alias("out"))
-
-    spliced = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, spliced).otherwise(text)
+def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
+    """The text with every stretch of overlapping spans replaced by one mark; the columns' names are given, and ``spans`` is sorted."""
+    return F.expr(_spliced(text, spans, f"if(x.s >= x.p, '{_quoted(mark)}', '')"))
