@@ -6,27 +6,28 @@ marginals hold; a document's probability is its cell's weight over its cell's to
 a factor, at most 1, with the factor that makes the expected tokens the budget; a document
 is kept if a hash of its id falls below its probability.
 
-Up to ``MAX_CELLS`` cells are raked on the driver and joined back by broadcast (both
-bounded by that number); beyond it, the same rounds run as DataFrames and the join is a
-shuffle whose skew is split at run time.
+Cells stay in tables of the shared folder whatever their number; Spark broadcasts them to
+the documents if the table is small, and else joins by a shuffle whose skew is split at run
+time.
 
 Defined results: null source or language counts as the empty string; a text without words
 counts one token; a target for a value that no document has is left out and the others are
 scaled up; rows that repeat an id are kept or dropped together; an empty table gives no rows;
-all input columns are kept, and the added ones take names that the caller gives.
+input columns are kept in a struct, so their names can't clash; marginals that no weights can
+meet together end after ``ROUNDS`` rounds with those of the last dimension met.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import WORD, Scratch
 
-MAX_CELLS = 50_000
-ROUNDS = 40
+#: The most rounds, and how far off a marginal share may be.
+ROUNDS, TOLERANCE = 40, 1e-12
 #: Targets are the observed shares to this power, so that small sources gain and a hot one loses.
 TEMPER = 0.7
 #: Share of all tokens that the sample should hold.
@@ -46,95 +47,70 @@ def topic(text: Column, words: Column) -> Column:
     return F.when((bars > 0) & (bars * 25 >= size), "table").when((digits > 0) & (digits * 10 >= size), "numbers").when(words >= 1000, "long").when(words < 60, "note").otherwise("prose")
 
 
-def tempered(marginal: dict[str, int], power: float = TEMPER) -> dict[str, float]:
-    """Target shares from token counts."""
-    total = sum(marginal.values())
-    raised = {k: (v / total) ** power for k, v in marginal.items()}
-    scale = sum(raised[k] for k in sorted(raised))
-    return {k: v / scale for k, v in raised.items()}
+def _target(cells: DataFrame, dim: str, given: dict[str, float] | None) -> DataFrame:
+    """dim and its share of the values that occur: the given targets, else tempered shares of the tokens."""
+    sums = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("tokens"))
+    if given is None:
+        shares = sums.select(dim, F.pow(F.col("tokens") / F.lit(sums.agg(F.sum("tokens")).first()[0]), F.lit(TEMPER)).alias("share"))
+    else:
+        wanted = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"`{dim}` string, share double")
+        shares = sums.select(dim).join(wanted, dim, "left").na.fill(0.0, ["share"])
+    whole = shares.agg(F.sum("share")).first()[0] or 1.0
+    return shares.select(dim, (F.col("share") / F.lit(whole)).alias(f"share_{dim}"))
+
 
+def rake(cells: DataFrame, dims: list[str], scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """Cells (dims, tokens, share_ of each dim) with weights whose marginals are the shares: a table of ``scratch``.
 
-def rake(cells: dict[tuple, float], targets: list[dict[str, float]], rounds: int = ROUNDS) -> dict[tuple, float]:
-    """Cell weights whose marginals are the targets (shares; scaled to those that occur); cells: key tuple -> tokens."""
-    weights = {k: float(v) for k, v in sorted(cells.items())}
-    present = [defaultdict(float) for _ in targets]
-    for i, t in enumerate(targets):
-        values = {k[i] for k in weights}
-        held = sum(t.get(v, 0.0) for v in values) or 1.0
-        present[i].update({v: t.get(v, 0.0) / held for v in values})
+    Each round sums the weights of every dimension in turn, pre-aggregated, and ends in a written table;
+    rounds stop once no marginal is off by more than ``tolerance``.
+    """
+    now = scratch.write(cells.withColumn("weight", F.col("tokens").cast("double")))
     for _ in range(rounds):
-        for i in range(len(targets)):
-            sums: dict[str, float] = defaultdict(float)
-            for k, w in weights.items():
-                sums[k[i]] += w
-            weights = {k: w * present[i][k[i]] / sums[k[i]] if sums[k[i]] else 0.0 for k, w in weights.items()}
-    return weights
+        step = now
+        for dim in dims:
+            sums = step.groupBy(dim).agg(F.sum("weight").alias("held"))
+            step = step.join(sums, dim).withColumn("weight", F.when(F.col("held") > 0, F.col("weight") * F.col(f"share_{dim}") / F.col("held")).otherwise(0.0)).drop("held")
+        before, now = now, scratch.write(step)
+        scratch.drop(before)
+        off = [now.groupBy(dim).agg(F.abs(F.sum("weight") - F.max(f"share_{dim}")).alias("off")).select("off") for dim in dims]
+        if (reduce(DataFrame.union, off).agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+            break
+    return now
 
 
-def factor(cells: list[tuple[float, float]], budget: float) -> float:
-    """The factor c for which the sum of tokens * min(1, c * weight / tokens) is the budget; cells: (tokens, weight)."""
+def factor(raked: DataFrame, budget: float) -> float:
+    """The factor c for which the sum of tokens * min(1, c * weight / tokens) is the budget, or the largest that helps."""
     c, before = 0.0, -1.0
     while c > before:
-        before = c
-        full = sum(t for t, w in cells if c * w >= t)
-        open_ = sum(w for t, w in cells if c * w < t)
-        if not open_:
+        before, full = c, F.lit(c) * F.col("weight") >= F.col("tokens")
+        sums = raked.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(~full, F.col("weight")).otherwise(0.0))).first()
+        if not sums[1]:
             break
-        c = (budget - full) / open_
+        c = (budget - sums[0]) / sums[1]
     return c
 
 
-def rake_frame(cells: DataFrame, dims: list[str], targets: list[DataFrame], scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """The same rounds over a table of cells (dims, tokens); targets: (value, share) of each dim.  Adds weight."""
-    now = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for r in range(rounds):
-        for dim, target in zip(dims, targets, strict=True):
-            sums = now.groupBy(dim).agg(F.sum("weight").alias("_sum")).join(target.withColumnRenamed("value", dim), dim, "left")
-            now = now.join(sums, dim).withColumn("weight", F.col("weight") * F.coalesce("share", F.lit(0.0)) / F.col("_sum")).drop("_sum", "share")
-        if r % 2:
-            now = scratch.write(now)
-    return now
-
+def mix(docs: DataFrame, key: str, text: str, source: str, language: str, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """row (a struct of all columns of docs, whatever their names), and its source, language, topic, tokens, p (probability) and kept (boolean).
 
-def mix(docs: DataFrame, key: str, text: str, source: str, language: str, prefix: str = "_mix_", targets: dict[str, dict[str, float]] | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
-    """docs with ``prefix`` + source, language, topic, tokens, p (probability) and kept (boolean)."""
-    dims = [f"{prefix}source", f"{prefix}language", f"{prefix}topic"]
-    count = f"{prefix}tokens"
-    rows = docs.withColumn(count, tokens(F.col(text)))
-    rows = rows.withColumn(dims[0], F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn(dims[1], F.coalesce(F.col(language).cast("string"), F.lit(""))).withColumn(dims[2], topic(F.col(text), F.col(count)))
+    Cells are a table of the shared folder, whose size decides whether the join broadcasts it.
+    """
+    dims = ["source", "language", "topic"]
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(language).cast("string"), F.lit("")).alias("language"), tokens(F.col(text)).alias("tokens"), F.col(text).alias("text"), F.col(key).cast("string").alias("key"))
+    rows = rows.withColumn("topic", topic(F.col("text"), F.col("tokens"))).drop("text")
     scratch = Scratch(docs.sparkSession, "mixing")
-    cells = scratch.write(rows.groupBy(*dims).agg(F.sum(count).alias("tokens")))
+    cells = scratch.write(rows.groupBy(*dims).agg(F.sum("tokens").alias("tokens")))
+    total = cells.agg(F.sum("tokens")).first()[0]
+    if total is None:
+        return rows.select("row", *dims, "tokens", F.lit(0.0).alias("p"), F.lit(False).alias("kept"))
+    wanted = cells
+    for dim in dims:
+        wanted = wanted.join(_target(cells, dim, (targets or {}).get(dim)), dim)
+    raked = rake(wanted, dims, scratch)
+    c = factor(raked, BUDGET * total)
+    table = scratch.write(raked.select(*dims, F.least(F.lit(1.0), F.lit(c) * F.col("weight") / F.col("tokens")).alias("p")))
+    scratch.drop(cells, raked)
     # a hash of the id, uniform on 0 to 1
-    place = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    if cells.count() <= max_cells:
-        held = {tuple(r[d] for d in dims): r["tokens"] for r in cells.collect()}
-        if not held:
-            return rows.withColumn(f"{prefix}p", F.lit(0.0)).withColumn(f"{prefix}kept", F.lit(False))
-        wanted = []
-        for i, name in enumerate(("source", "language", "topic")):
-            sums: dict[str, int] = defaultdict(int)
-            for k, v in held.items():
-                sums[k[i]] += v
-            wanted.append((targets or {}).get(name) or tempered(sums))
-        weights = rake(held, wanted)
-        c = factor([(held[k], w) for k, w in weights.items()], BUDGET * sum(held.values()))
-        table = docs.sparkSession.createDataFrame([(*k, min(1.0, c * w / held[k])) for k, w in weights.items()], ", ".join(f"`{d}` string" for d in dims) + f", `{prefix}p` double")
-        joined = rows.join(F.broadcast(table), dims)
-    else:
-        shares = []
-        for d, name in zip(dims, ("source", "language", "topic"), strict=True):
-            given = (targets or {}).get(name)
-            if given:
-                t = docs.sparkSession.createDataFrame(list(given.items()), "value string, share double").join(cells.select(F.col(d).alias("value")).distinct(), "value")
-            else:
-                t = cells.groupBy(F.col(d).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(TEMPER)).alias("share"))
-            t = scratch.write(t)
-            shares.append(t.withColumn("share", F.col("share") / F.lit(t.agg(F.sum("share")).first()[0])))
-        raked = scratch.write(rake_frame(cells, dims, shares, scratch))
-        budget, c, before = BUDGET * cells.agg(F.sum("tokens")).first()[0], 0.0, -1.0
-        while c > before:
-            before, full = c, F.lit(c) * F.col("weight") >= F.col("tokens")
-            sums = raked.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(~full, F.col("weight")).otherwise(0.0))).first()
-            c = (budget - sums[0]) / sums[1] if sums[1] else c
-        joined = rows.join(raked.select(*dims, F.least(F.lit(1.0), F.lit(c) * F.col("weight") / F.col("tokens")).alias(f"{prefix}p")), dims)
-    return joined.withColumn(f"{prefix}kept", place < F.col(f"{prefix}p"))
+    place = F.conv(F.substring(F.md5(F.coalesce("key", F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return rows.join(table, dims).select("row", *dims, "tokens", "p", (place < F.col("p")).alias("kept"))

@@ -11,7 +11,7 @@ from .scratch import documents
 
 def op5_mixture_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source", "lang"), "doc_id", "text", "source", "lang")
-    return out.select("doc_id", F.col("_mix_source").alias("source"), F.col("_mix_language").alias("language"), F.col("_mix_topic").alias("topic"), F.col("_mix_tokens").alias("tokens"), F.round("_mix_p", 9).alias("p"), F.col("_mix_kept").alias("kept"))
+    return out.select("row.doc_id", "source", "language", "topic", "tokens", F.round("p", 9).alias("p"), "kept")
 
 
 def _sql() -> str:
