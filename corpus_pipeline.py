@@ -15,32 +15,55 @@ LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language: those without letters, or far from every machine's sure side, go."""
-    tagged = langid.tag(docs, "text", q_langid.learned(docs), "_lang_pred", "_lang_score")
-    return tagged.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)).select(docs.columns)
+    """Documents in a learned language: those without letters, or far from every machine's sure side, go.
+
+    Null and empty texts have no letters and go; if no row has a language, nothing was learned and every text
+    with a letter stays; rows that repeat are judged alike; an empty table stays empty; columns of any name are kept.
+    """
+    model = q_langid.learned(docs)
+    tagged = langid.tag(docs, "text", model)
+    if not model.families:
+        return tagged.where(F.col("row.text").rlike(r"\p{L}")).select("row.*")
+    return tagged.where((F.col("language") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, on five-word shingles at 0.8."""
+    """One document of each near-duplicate group, on five-word shingles at 0.8: that of the smallest id.
+
+    Null and blank texts link with nothing and stay; rows without an id stay; of rows that repeat an id one
+    stays; an empty table stays empty; columns of any name are kept.
+    """
     return minhash.one_of_each(docs, "doc_id", "text", words=5, threshold=80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its secrets replaced by a mark; n_chars follows the new text."""
+    """Every document with its secrets replaced by a mark; n_chars follows the new text.
+
+    A text without secrets stays as it is, null or empty too, and keeps its n_chars; repeated rows are treated
+    alike; an empty table stays empty; columns of any name are kept.
+    """
     found = secrets.find(docs, "text", q_secrets.ratios(spark, docs))
-    text = F.when(F.size("spans") > 0, secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("row.text"))
-    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
-    clean = found.select(*kept, text.alias("text"), F.col("row.n_chars").alias("n_chars"), F.size("spans").alias("_spans"))
-    return clean.withColumn("n_chars", F.when(F.col("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    any_found = F.size("spans") > 0
+    fresh = found.select("row", any_found.alias("found"), secrets.redacted("text", "spans").alias("clean"))
+    changed = {"text": F.when(F.col("found"), F.col("clean")).otherwise(F.col("row.text")), "n_chars": F.when(F.col("found"), F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))}
+    return fresh.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose token weights meet the target shares of source, language and topic."""
-    return mixing.mix(docs, "doc_id", "text", "source", "lang").where("_mix_kept").select(docs.columns)
+    """A sample whose token weights meet the target shares of source, language and topic.
+
+    Null source, language and text count as empty; rows that repeat an id are kept or go together; an empty
+    table stays empty; columns of any name are kept.
+    """
+    return mixing.mix(docs, "doc_id", "text", "source", "lang").where("kept").select("row.*")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the bytes that they decode to."""
+    """Token ids of every document, with digests of the ids and of the bytes that they decode to.
+
+    Null text encodes as the empty text; repeated rows give repeated results; an empty table stays empty;
+    columns besides id and text are left out.
+    """
     return bpe.round_trip(docs, "doc_id", "text", public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True)
 
 
