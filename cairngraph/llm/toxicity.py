@@ -2,16 +2,16 @@
 
 The lexicon is learned: words, and stems of 4 to 6 letters, that mark toxic rows far
 beyond chance.  A word of a text hits a term exactly, through a stem, or with one edit of
-either: the word's automaton (bit sets of positions, one per error) walks the trie of all
-terms from its root and is cut where it dies.  An edit counts less than its term, and the
+either: Levenshtein automata are intersected with the trie of all terms, from its root.  An edit counts less than its term, and the
 less the more clean rows of the sample hold such edits, as ordinary words can be one edit
 from a weak term.  A hit counts by its term's weight and by its
 context window: less inside quotation marks or beside reporting words, more beside words
 of address.  A logistic curve over the summed hits, fitted on rows whose lexicon was
 learned from other rows, gives the score.
 
-Training reads a bounded sample: at most ``per_class`` rows of each label, those with the
-smallest hashes of their ids.
+Training reads a bounded sample: about ``per_class`` rows of each label, those with the
+smallest hashes of their ids, equal texts once.  Every term of the sample that passes the
+gates is in the lexicon.
 
 Defined results: null and empty text have no hits and get the curve's lowest score; without
 labels of both kinds the score is 0; labels that repeat an id train by the largest label;
@@ -36,11 +36,13 @@ from .scratch import Scratch, small_batches
 WORD = re.compile(r"\w+")
 PER_CLASS = 6000
 STEMS = (4, 5, 6)
-#: Surprise in nats that a term needs, the least rows that hold it, and the most terms kept.
-LEAST_SURPRISE, LEAST_ROWS, MAX_TERMS = 9.0, 3, 4000
+#: Surprise in nats that a term needs, and the least rows that hold it.
+LEAST_SURPRISE, LEAST_ROWS = 9.0, 3
 #: How many times as frequent in toxic rows as in clean ones a term is, whatever the number of either.
 LEAST_LIFT = 8.0
 EDITED = 0.5
+#: States of the automata that a worker keeps before it starts anew.
+STATES = 200_000
 WINDOW, QUOTED, ADDRESSED = 6, 0.3, 1.25
 REMEMBERED = 400_000
 # Words that report or quote, words that address, and quotation marks.
@@ -50,94 +52,87 @@ QUOTES = "\"“”„«»‹›"
 
 
 class Trie:
-    """Terms by letters, and stems as nodes that accept every word that goes on from them.
+    """Terms by letters, and stems as nodes that accept every word that goes on from them, met by Levenshtein automata of one edit.
 
-    ``near`` intersects the trie with a word's automaton.  Of several terms it gives the heaviest, then the first in letter order.
+    Where the trie stands after some letters of a word, with no edit and with one, is a state;
+    states and the letters that lead from one to the next are worked out when a word first needs
+    them and kept, so that words then cost a look-up a letter, and most die after a few.
+    Of several terms ``near`` gives the heaviest, then the first in letter order.
     """
 
     def __init__(self, terms: list[str], stems: list[str] = (), weights: dict[str, float] | None = None):
-        self.root: dict = {}
-        self.longest = max(map(len, [*terms, *stems]), default=0)
-        self.order = {t: (-(weights or {}).get(t, 0.0), t) for t in [*terms, *(s + "*" for s in stems)]}
-        #: halves of terms by the sizes of the words they can come near, halves of stems, and the lengths of these halves
-        self.halves: dict[int, tuple[set[str], set[str], set[int]]] = {}
-        self.stem_heads: set[str] = set()
-        self.stem_tails: set[str] = set()
-        self.stem_places: set[tuple[int, int]] = set()
-        self.stem_sizes: set[int] = set()
-        for kept, mark, end in ((terms, "", ""), (stems, "*", "*")):
+        self.below: list[dict[str, int]] = [{}]
+        self.ends: dict[int, tuple[float, str]] = {}
+        self.opens: dict[int, tuple[float, str]] = {}
+        for kept, mark, held in ((terms, "", self.ends), (stems, "*", self.opens)):
             for term in kept:
-                node = self.root
+                node = 0
                 for c in term:
-                    node = node.setdefault(c, {})
-                node[mark + " "] = term + end
-                half = len(term) // 2
-                head, tail = term[:half], term[half:]
-                if end:
-                    self.stem_heads.add(head)
-                    self.stem_tails.add(tail)
-                    self.stem_sizes.add(half)
-                    self.stem_places |= {(half + d, half + d + len(tail)) for d in (-1, 0, 1) if half + d >= 0}
-                    continue
-                for size in range(max(1, len(term) - 1), len(term) + 2):
-                    heads, tails, sizes = self.halves.setdefault(size, (set(), set(), set()))
-                    heads.add(head)
-                    tails.add(tail)
-                    sizes |= {half, len(tail)}
-
-    def possible(self, word: str) -> bool:
-        """One edit leaves one half of a term as it is, at its end of the word; a stem's second half moves by one place at most."""
-        found = self.halves.get(len(word))
-        if found is not None:
-            heads, tails, sizes = found
-            for n in sizes:
-                if word[:n] in heads or word[len(word) - n :] in tails:
-                    return True
-        for n in self.stem_sizes:
-            if word[:n] in self.stem_heads:
-                return True
-        return any(word[i:j] in self.stem_tails for i, j in self.stem_places)
+                    if c not in self.below[node]:
+                        self.below[node][c] = len(self.below)
+                        self.below.append({})
+                    node = self.below[node][c]
+                held[node] = (-(weights or {}).get(term + mark, 0.0), term + mark)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Only the state of no place, which is dead, is known."""
+        self.numbers: dict[tuple[int, frozenset[int]], int] = {}
+        self.places: list[tuple[int, frozenset[int]]] = []
+        self.steps: list[dict[str, int]] = []
+        self.accepts: list[tuple[float, str] | None] = []
+        self.passes: list[tuple[float, str] | None] = []
+        self._state(-1, frozenset())
+        self.start = self._state(0, frozenset())
+
+    def _state(self, exact: int, one: frozenset[int]) -> int:
+        """The number of a state: the node reached without an edit (-1: none) and those reached with one."""
+        if exact >= 0:
+            one = one.union(self.below[exact].values()) - {exact}  # a letter of the term may be missing next
+        key = (exact, one)
+        number = self.numbers.get(key)
+        if number is None:
+            number = self.numbers[key] = len(self.places)
+            here = [exact, *one]
+            self.places.append(key)
+            self.steps.append({})
+            self.accepts.append(min((self.ends[n] for n in here if n in self.ends), default=None))
+            self.passes.append(min((self.opens[n] for n in here if n in self.opens), default=None))
+        return number
+
+    def _step(self, state: int, letter: str) -> int:
+        exact, one = self.places[state]
+        on = {self.below[n][letter] for n in one if letter in self.below[n]}
+        if exact >= 0:
+            on.update(self.below[exact].values(), (exact,))  # another letter, or one too many
+            exact = self.below[exact].get(letter, -1)
+        number = self.steps[state][letter] = self._state(exact, frozenset(on))
+        return number
 
     def near(self, word: str, same_first: bool = True) -> str | None:
         """The best term that the automaton of ``word`` accepts with at most one edit, of any letter or of any but the first."""
-        word = word[: self.longest + 2]  # no term reads further
-        if not word or not self.possible(word):
+        if not word:
             return None
-        at: dict[str, int] = {}
-        for i, c in enumerate(word):
-            at[c] = at.get(c, 0) | 1 << i
-        goal = 1 << len(word)
-        full = (goal << 1) - 1
-        # state: positions reached with no error, and with at most one
+        if len(self.places) > STATES:
+            self._forget()
         if same_first:
-            first = self.root.get(word[0])
-            todo = [(first, 2, (1 << 1 | 1 << 2) & full)] if first is not None else []
+            state, word = self._state(self.below[0].get(word[0], -1), frozenset()), word[1:]
         else:
-            todo = [(self.root, 1, 3)]
-        found = None
-        while todo:
-            node, exact, one = todo.pop()
-            if not exact:
-                # the edit is spent: only the letters that stand at the places reached lead on
-                here = {word[i] for i in range(one.bit_length()) if one >> i & 1 and i < len(word)} & node.keys()
-                below = [(c, node[c]) for c in here]
-                for mark in (" ", "* "):
-                    if mark in node:
-                        below.append((mark, node[mark]))
-            else:
-                below = node.items()
-            for c, child in below:
-                if c == "* " or c == " ":
-                    if c == "* " or (exact | one) & goal:
-                        if found is None or self.order[child] < self.order[found]:
-                            found = child
-                    continue
-                here = at.get(c, 0)
-                exact_next = (exact & here) << 1
-                one_next = ((one & here) << 1 | exact | exact << 1 | exact_next | exact_next << 1) & full
-                if one_next:
-                    todo.append((child, exact_next, one_next))
-        return found
+            state = self.start
+        steps, passes = self.steps, self.passes
+        found = passes[state]
+        for c in word:
+            after = steps[state].get(c)
+            state = self._step(state, c) if after is None else after
+            if not state:
+                break
+            better = passes[state]
+            if better is not None and (found is None or better < found):
+                found = better
+        better = self.accepts[state]
+        if better is not None and (found is None or better < found):
+            found = better
+        return found and found[1]
 
 
 @dataclass
@@ -152,8 +147,7 @@ class Lexicon:
         terms = self.words | {s + "*": x for s, x in self.stems.items()}
         self.edited = {t: EDITED * x * self.trust.get(t, 1.0) for t, x in terms.items()}
         self.trie = Trie(list(self.words), list(self.stems), self.edited)
-        self.clean: set[str] = set()
-        self.known: dict[str, tuple[str, float]] = {}
+        self.known: dict[str, tuple[str, float] | None] = {}
 
     def __reduce__(self):
         return Lexicon, (self.words, self.stems, self.trust)
@@ -191,22 +185,17 @@ class Lexicon:
             return []
         lower = text.lower()
         words = WORD.findall(lower)
-        distinct = set(words)
-        for w in distinct - self.clean - self.known.keys():
-            found = self.look_up(w)
-            if found is None:
-                self.clean.add(w)
-            else:
-                self.known[w] = found
-        here = distinct & self.known.keys()
-        if len(self.clean) + len(self.known) > REMEMBERED:
-            kept = {w: self.known[w] for w in here}
-            self.clean, self.known = set(), kept
+        distinct, known = set(words), self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in distinct.difference(known):
+            known[w] = self.look_up(w)
+        here = {w for w in distinct if known[w] is not None}
         if not here:
             return []
         # places in the text are only needed where quotation marks can stand around a word
         spans = [m.span() for m in WORD.finditer(lower)] if any(q in lower for q in QUOTES) else None
-        return [(i, self.known[w][0], self.known[w][1] * _context(lower, words, spans, i)) for i, w in enumerate(words) if w in here]
+        return [(i, known[w][0], known[w][1] * _context(lower, words, spans, i)) for i, w in enumerate(words) if w in here]
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Log of the summed hits, log of the distinct terms' best hits summed, and the strongest hit."""
@@ -313,12 +302,14 @@ def _choose(rows: list, toxic: list[float], clean: list[float]) -> Lexicon:
 def _trust_edits(sample: DataFrame, lexicons: list[Lexicon], totals: dict[tuple[int, int], int]) -> list[Lexicon]:
     """The lexicons of the sample and of its folds 0 and 1, each with the trust that its own rows give to edits."""
 
+    shared = sample.sparkSession.sparkContext.broadcast(lexicons)  # once in a worker, which keeps what it worked out
+
     def run(batches):
         held: Counter = Counter()
         for batch in batches:
             for text, fold, label in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 for k in (0, fold + 1):
-                    held.update((k, t, label) for t in lexicons[k].edits(text.as_py()))
+                    held.update((k, t, label) for t in shared.value[k].edits(text.as_py()))
         rows = list(held.items())
         yield pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in rows], pa.int32()), pa.array([r[0][1] for r in rows], pa.string()), pa.array([r[0][2] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())], ["k", "term", "label", "n"])
 
@@ -348,34 +339,50 @@ def pick(marks: DataFrame, label: str, order: Column, per_class: int = PER_CLASS
     return marks.where(_within(counts, F.col(label), _place(order), per_class))
 
 
+def _surprise(a: Column, b: Column, p: int, n: int) -> Column:
+    share, chance = (a + 0.01) / (a + b + 0.02), p / (p + n)
+    return a * F.log(share / chance) + F.when(b > 0, b * F.log((1 - share) / (1 - chance))).otherwise(0.0)
+
+
 def train(rows: DataFrame, text: str, label: str, order: Column, per_class: int = PER_CLASS) -> Model:
-    """Fits on at most ``per_class`` rows of each label (0 or 1), those of the least ``order`` hash."""
+    """Fits on about ``per_class`` rows of each label (0 or 1), those of the least ``order`` hash."""
     small_batches(rows.sparkSession)
     rows = rows.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), _place(order).alias("place"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
         return Model(Lexicon(), None)
-    picked = rows.where(_within(counts, F.col("label"), F.col("place"), per_class))
-    # the thresholds hold the sample to about its size; the limit proves the bound
-    sample = picked.orderBy("place", "label", F.xxhash64("text")).limit(4 * per_class).select("text", (F.col("place") % 2).cast("int").alias("fold"), "label").repartition(16)
-    sample = Scratch(rows.sparkSession, "toxicity").write(sample)  # read three times, so that the join before it runs once
+    # equal texts count once, so that rows repeated without end stay one row; a text is in one fold
+    picked = rows.where(_within(counts, F.col("label"), F.col("place"), per_class)).select("text", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"), "label").distinct().repartition(16)
+    scratch = Scratch(rows.sparkSession, "toxicity")
+    sample = scratch.write(picked)  # read three times, so that the join before it runs once
+    try:
+        return _fit(sample)
+    finally:
+        scratch.drop(sample)
+
+
+def _fit(sample: DataFrame) -> Model:
     totals = {(r["fold"], r["label"]): r["count"] for r in sample.groupBy("fold", "label").count().collect()}
     size = lambda label, folds: [totals.get((f, label), 0) for f in folds]
     p, n = sum(size(1, (0, 1))), sum(size(0, (0, 1)))
     if not p or not n:
         return Model(Lexicon(), None)
-    # only terms far likelier in toxic rows come back, the most surprising MAX_TERMS
-    a, b = F.col("a"), F.col("b")
-    share, chance = (a + 0.01) / (a + b + 0.02), p / (p + n)
-    surprise = a * F.log(share / chance) + F.when(b > 0, b * F.log((1 - share) / (1 - chance))).otherwise(0.0)
-    counted = _count_terms(sample).withColumn("a", F.expr("c1 + c3")).withColumn("b", F.expr("c0 + c2"))
-    terms = counted.where((a >= LEAST_ROWS) & _lifted(a, b, p, n)).orderBy(surprise.desc(), "term").limit(MAX_TERMS).collect()
+    # only terms that pass the gates in the sample or in one of its folds come back: few, as each stands for many rows of a bounded sample
+    passed, gates = F.lit(False), [("c1 + c3", "c0 + c2", p, n), *((f"c{2 * f + 1}", f"c{2 * f}", *size(1, (f,)), *size(0, (f,))) for f in (0, 1))]
+    for toxic, clean, pp, nn in gates:
+        if pp and nn:
+            x, y = F.expr(toxic), F.expr(clean)
+            passed = passed | ((x >= LEAST_ROWS) & _lifted(x, y, pp, nn) & (_surprise(x, y, pp, nn) >= LEAST_SURPRISE))
+    terms = _count_terms(sample).withColumn("a", F.expr("c1 + c3")).withColumn("b", F.expr("c0 + c2")).where(passed).orderBy("term").collect()
     lexicon = _choose([(r["term"], r["a"], r["b"]) for r in terms], size(1, (0, 1)), size(0, (0, 1)))
     halves = [_choose([(r["term"], r[f"c{2 * f + 1}"], r[f"c{2 * f}"]) for r in terms], size(1, (f,)), size(0, (f,))) for f in (0, 1)]
 
     lexicon, *halves = _trust_edits(sample, [lexicon, *halves], totals)
 
+    shared = sample.sparkSession.sparkContext.broadcast(halves)
+
     def run(batches):
+        halves = shared.value
         for batch in batches:
             out = [(*halves[1 - fold].features(text), label) for text, fold, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
@@ -388,7 +395,7 @@ def train(rows: DataFrame, text: str, label: str, order: Column, per_class: int
 def scores(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     """key, score and number of hits of every row."""
     small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS terms
+    shared = df.sparkSession.sparkContext.broadcast(model)  # terms of a bounded sample
 
     def run(batches):
         held = shared.value
