@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import IDENTITY_KEYS
+from ..schema import IDENTITY_KEYS, LANGUAGES
 
 
 def f1(tp: Column, fp: Column, fn: Column) -> Column:
@@ -75,6 +75,18 @@ def grounding(quotes: DataFrame, stored: DataFrame, reads: DataFrame) -> DataFra
     return rows.select(*[c for c in quotes.columns], verdict.alias("verdict"))
 
 
+def seen_text(log: DataFrame) -> DataFrame:
+    """run, entity, language of the texts that calls put before a reader; log: run, fn, args, ids.
+
+    A description shows the language that it asks for, or all; labels ground nothing, so other calls show none.
+    """
+    everything = F.array(*[F.lit(x) for x in LANGUAGES])
+    shown = F.when(F.col("fn").isin("descriptions", "describe"), everything).when(F.col("fn").isin("entity", "search_entity"), F.array(F.lit("en")))
+    shown = shown.when(F.col("fn") == "description", F.when(F.size("args") > 1, F.array(F.get("args", 1))).otherwise(everything))
+    rows = log.select("run", F.explode("ids").alias("entity"), shown.alias("shown")).where(F.col("shown").isNotNull() & F.col("entity").rlike(r"^Q\d+$"))
+    return rows.select("run", "entity", F.explode("shown").alias("language")).distinct()
+
+
 def gold_audit(rows: DataFrame, nodes: DataFrame, stored: DataFrame) -> DataFrame:
     """check, n over gold rows (task, qid, name, evidence, language, listed, counted): what the graph contradicts."""
     n = nodes.select("qid", F.col("label_en").alias("_label"), F.lit(True).alias("_known"))

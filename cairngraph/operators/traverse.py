@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -15,7 +16,11 @@ class Steps:
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
-        root = self.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cairngraph-")
+        root = self.spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not re.match(r"local(\[|$)", self.spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="cairngraph-")
         self.root, self.n = f"{root.rstrip('/')}/steps-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -59,7 +64,7 @@ def nearest_matching(anchors: DataFrame, parents: DataFrame, nodes: DataFrame, m
     The frontier drops anchors as soon as they have a match, so it shrinks with every step.
     """
     steps = Steps(anchors)
-    edges = parents.where("child <> parent").distinct()
+    edges = steps.keep(parents.where("child <> parent").distinct())
     good = steps.keep(nodes.where(matches).select(F.col("qid").alias("ancestor")))
     front = anchors.select("anchor", F.col("anchor").alias("at"))
     found = []
@@ -78,7 +83,8 @@ def nearest_matching(anchors: DataFrame, parents: DataFrame, nodes: DataFrame, m
 def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """qid of everything reachable from the seeds (qid) over undirected edges: the frontier meets the edges, what was seen goes."""
     steps = Steps(seeds)
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    kept = steps.keep(edges.select("src", "dst").where("src <> dst"))
+    both = steps.keep(kept.union(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     front = seen = steps.keep(seeds.select("qid").distinct())
     while True:
         front = steps.keep(both.join(front, F.col("src") == F.col("qid"), "left_semi").select(F.col("dst").alias("qid")).distinct().join(seen, "qid", "left_anti"))

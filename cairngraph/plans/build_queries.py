@@ -123,7 +123,7 @@ ORACLES = {
         FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY place) AS n FROM statements) WHERE n = 1""",
     "statement_claims": """SELECT count(*) AS statements, count(*) FILTER (l_linenumber NOT IN (1, 2, 3)) AS claims, count(*) FILTER (l_linenumber = 2) AS bad_values, count(*) FILTER (l_linenumber = 1) AS property_subjects FROM lineitem""",
     "id_parse_filter": "SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN c_custkey ELSE -1 END AS qid, c_custkey % 6 = 0 AS is_item FROM customer",
-    "entity_text_pivot": """WITH t AS (SELECT source AS entity, lang, substr(text, 1, 120) AS d, doc_id FROM documents WHERE lang IN ('en', 'fr', 'de')),
+    "entity_text_pivot": """WITH t AS (SELECT source AS entity, lang, text AS d, doc_id FROM documents WHERE lang IN ('en', 'fr', 'de')),
         w AS (SELECT entity, min_by(d, doc_id) FILTER (lang = 'en') AS description_en, min_by(d, doc_id) FILTER (lang = 'fr') AS description_fr, min_by(d, doc_id) FILTER (lang = 'de') AS description_de FROM t GROUP BY entity)
         SELECT *, (description_en IS NOT NULL)::INT + (description_fr IS NOT NULL)::INT + (description_de IS NOT NULL)::INT AS n_languages FROM w""",
     "rare_language_share": """WITH e AS (SELECT doc_id // 10 AS entity, bool_or(lang = 'de' AND text <> '') AS rare, bool_or(lang IN ('en', 'fr') AND text <> '') AS common FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY 1)

@@ -102,12 +102,33 @@ def row_identities(spark, sf_dir):
     return evaluate.row_identity(l)
 
 
+def graded_answers(spark, sf_dir):
+    """Customer answers with a list, a nested object, a fact and a count: one key is wrong in each way in turn, and each sixth doesn't parse."""
+    c = Graph(spark, sf_dir).table("customer")
+    n, kind = F.col("c_custkey").cast("string"), F.col("c_custkey") % 6
+    rows = lambda last: F.concat(F.lit('{"rows": [{"qid": "Q1", "n": 1}, {"qid": "'), last, F.lit('", "n": 2}], "who": {"name": "a", "born": null}, "total": '))
+    want = F.concat(rows(F.lit("Q2")), n, F.lit(', "examined": 5}'))
+    fact = F.when(kind == 2, F.lit("-1")).otherwise(n)
+    odd = F.concat(F.lit('{"rows": [{"n": 2, "qid": "q2"}, {"qid": "Q1", "n": 1}, {"qid": "Q1"}, {"qid": "Q7"}], "who": {"name": "a"}, "total": '), fact, F.lit("}"))
+    same = F.concat(F.lit('{"rows": [{"n": 2, "qid": "q2"}, {"qid": "Q1", "n": 1}], "who": {"name": "a"}, "total": '), fact, F.when(kind == 3, F.lit(', "examined": 9}')).when(kind == 4, F.lit(', "extra": 1, "examined": 5}')).otherwise(F.lit(', "examined": 5}')))
+    got = F.when(kind == 0, F.lit("no json")).when(kind == 1, F.concat(F.regexp_replace(odd, r"\}$", ""), F.lit(', "examined": 5}'))).otherwise(same)
+    return c.select("c_custkey", canonical.graded(want, got, ("examined",)).alias("g")).select("c_custkey", "g.*")
+
+
+def seen_text_languages(spark, sf_dir):
+    """Events as calls that show texts: how many entities each run saw in each language."""
+    log = _log(Graph(spark, sf_dir)).drop("fn", "args")
+    e = Graph(spark, sf_dir).table("events").select(F.col("event_id").alias("seq"), F.expr("CASE event_type WHEN 'purchase' THEN 'descriptions' WHEN 'signup' THEN 'description' WHEN 'click' THEN 'entity' ELSE 'edges' END").alias("fn"))
+    calls = log.join(e, "seq").withColumn("args", F.when(F.col("seq") % 2 == 0, F.array(F.lit("x"), F.lit("fr"))).otherwise(F.array(F.lit("x"))))
+    return evaluate.seen_text(calls).groupBy("run", "language").agg(F.count(F.lit(1)).alias("n"))
+
+
 def exact_canonical(spark, sf_dir):
-    """Customer answers written two ways: other key order, curly quotes, lower-case ids, floats; every fourth differs."""
+    """Customer answers written two ways: other key order, curly quotes, lower-case ids, floats; every fourth differs, and every sixth says an id twice."""
     c = Graph(spark, sf_dir).table("customer")
     n = F.col("c_custkey").cast("string")
     want = F.concat(F.lit('{"name": "it\'s '), F.col("c_name"), F.lit('", "ids": ["Q1", "Q'), n, F.lit('"], "n": '), n, F.lit("}"))
-    got = F.concat(F.lit('{"n": '), n, F.lit('.0, "ids": ["q'), n, F.lit('", "q1"], "name": "it’s  '), F.when(F.col("c_custkey") % 4 == 0, F.lit("no")).otherwise(F.col("c_name")), F.lit('"}'))
+    got = F.concat(F.lit('{"n": '), n, F.lit('.0, "ids": ["q'), n, F.when(F.col("c_custkey") % 6 == 5, F.lit('", "q1", "q1"], "name": "it’s  ')).otherwise(F.lit('", "q1"], "name": "it’s  ')), F.when(F.col("c_custkey") % 4 == 0, F.lit("no")).otherwise(F.col("c_name")), F.lit('"}'))
     return c.select("c_custkey", canonical.exact(want, got).alias("exact"))
 
 
@@ -191,7 +212,7 @@ def run_names(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    read_ledger, read_budget, seen_ids, ungrounded_ids, coverage_widest, grounding_verdict, passage_containment, grade_keyed, overlap_f1, row_identities, exact_canonical, gold_audit, compare_batches,
+    read_ledger, read_budget, seen_ids, ungrounded_ids, coverage_widest, grounding_verdict, passage_containment, grade_keyed, overlap_f1, row_identities, exact_canonical, graded_answers, seen_text_languages, gold_audit, compare_batches,
     summary_by_pattern, summary_overall, timing_stats, thinking_share, task_audit, turn_pairing, identifier_extract, code_cells, run_names,
 )}
 
@@ -232,7 +253,12 @@ ORACLES = {
     "overlap_f1": f"""WITH a AS (SELECT p_size % 10 AS task, p_brand, count(*) AS a FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2), b AS (SELECT p_size % 10 AS task, p_brand, count(*) AS b FROM part WHERE p_partkey % 3 = 0 GROUP BY 1, 2),
         s AS (SELECT task, sum(least(coalesce(a, 0), coalesce(b, 0)))::BIGINT AS tp, sum(greatest(coalesce(b, 0) - coalesce(a, 0), 0))::BIGINT AS fp, sum(greatest(coalesce(a, 0) - coalesce(b, 0), 0))::BIGINT AS fn FROM a FULL JOIN b USING (task, p_brand) GROUP BY 1) SELECT *, {_F1} FROM s""",
     "row_identities": "SELECT l_orderkey AS task, CASE WHEN count(DISTINCT l_linenumber) = count(*) THEN 'id' WHEN count(DISTINCT l_partkey) = count(*) THEN 'item' END AS identity FROM lineitem GROUP BY 1",
-    "exact_canonical": "SELECT c_custkey, c_custkey % 4 <> 0 AS exact FROM customer",
+    "exact_canonical": "SELECT c_custkey, c_custkey % 4 <> 0 AND c_custkey % 6 <> 5 AS exact FROM customer",
+    "graded_answers": """SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 6 = 1 THEN 0.6667 ELSE 1.0 END AS set_f1, CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 6 IN (2, 3) THEN '2/3' ELSE '3/3' END AS scalars_ok,
+        CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_custkey % 6 IN (3, 5) END AS content_exact FROM customer""",
+    "seen_text_languages": """WITH c AS (SELECT user_id AS run, concat('Q', CAST(json_extract_string(props, '$.k') AS BIGINT) + 30000000) AS entity, event_type AS t, event_id AS i FROM events WHERE event_id % 5 <> 0),
+        x AS (SELECT run, entity, unnest(CASE WHEN t = 'purchase' OR t = 'signup' AND i % 2 = 1 THEN ['en', 'fr', 'de', 'zh', 'ar', 'ru'] WHEN t = 'signup' THEN ['fr'] WHEN t = 'click' THEN ['en'] ELSE [] END) AS language FROM c)
+        SELECT run, language, count(DISTINCT entity) AS n FROM x GROUP BY 1, 2""",
     "gold_audit": """WITH c AS (SELECT c_custkey % 10 AS k, c_custkey % 2 AS odd, count(*) AS n FROM customer GROUP BY 1, 2),
         x AS (SELECT 'qid_absent' AS "check", n FROM c WHERE k = 1 UNION ALL SELECT 'not_in_graph', n FROM c WHERE k = 2 UNION ALL SELECT 'name_vs_label_en', n FROM c WHERE k = 3
           UNION ALL SELECT 'evidence_not_stored', n FROM c WHERE k = 4 UNION ALL SELECT 'evidence_lang_absent', n FROM c WHERE k = 6 UNION ALL SELECT 'lang_not_available', n FROM c WHERE k = 5 UNION ALL SELECT 'count_mismatch', n FROM c WHERE k = 7)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import build, hubs, search, semantic
+from ..operators.traverse import Steps
 from .common import GRAPH, NODES, Graph
 
 
@@ -89,23 +90,27 @@ _SETTINGS = hubs.Settings(max_hubs=60, min_degree=50)
 
 
 def hub_select(spark, sf_dir):
-    g = Graph(spark, sf_dir)
-    out = hubs.select_hubs(build.degrees(g.edges), _SETTINGS)
+    out = hubs.select_hubs(build.degrees(Graph(spark, sf_dir).edges), _SETTINGS)
     return out.withColumn("selected_by", F.array_join("selected_by", ","))
 
 
+def _hub_tables(g: Graph):
+    """Edges, selected hubs and their relations, each written once, as every later step reads them several times."""
+    steps = Steps(g.nodes)
+    edges = steps.keep(g.edges)
+    picked = steps.keep(hubs.select_hubs(steps.keep(build.degrees(edges)), _SETTINGS))
+    return steps, edges, steps.keep(hubs.relations(edges, picked, _SETTINGS))
+
+
 def hub_relations(spark, sf_dir):
-    g = Graph(spark, sf_dir)
-    edges = g.edges
-    return hubs.relations(edges, hubs.select_hubs(build.degrees(edges), _SETTINGS), _SETTINGS)
+    return _hub_tables(Graph(spark, sf_dir))[2]
 
 
 def _observations(g: Graph):
-    edges = g.edges
-    rel = hubs.relations(edges, hubs.select_hubs(build.degrees(edges), _SETTINGS), _SETTINGS)
+    steps, edges, rel = _hub_tables(g)
     types = edges.where("prop = 31").select(F.col("src").alias("qid"), F.col("dst").alias("type"))
     flags = g.nodes.select("qid", (F.col("qid") % 3 == 0).alias("rare"), (F.col("qid") % 6 == 0).alias("only"))
-    return hubs.typed_observations(edges, rel, types, flags)
+    return steps.keep(hubs.typed_observations(edges, rel, types, flags))
 
 
 def typed_observations(spark, sf_dir):
@@ -122,8 +127,7 @@ def atomic_patterns(spark, sf_dir):
 
 def relation_examples(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    edges = g.edges
-    rel = hubs.relations(edges, hubs.select_hubs(build.degrees(edges), _SETTINGS), _SETTINGS)
+    _, edges, rel = _hub_tables(g)
     out = hubs.examples(edges, rel, g.nodes)
     return out.withColumn("examples", F.array_join(F.transform("examples", lambda x: F.concat_ws("=", x["qid"].cast("string"), x["label"])), ";"))
 

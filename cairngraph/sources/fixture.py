@@ -74,4 +74,4 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity, language, description and doc_id: a source of documents is an entity, a text of it a description."""
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("entity"), F.col("lang").alias("language"), F.substring("text", 1, 120).alias("description"), "doc_id")
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("entity"), F.col("lang").alias("language"), F.col("text").alias("description"), "doc_id")

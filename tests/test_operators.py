@@ -29,10 +29,13 @@ def test_fold_and_typography(spark):
 
 def test_canonical_is_stable_and_ignores_order():
     a = {"b": [3, 1.0, "q5", 1], "a": "it’s  so", "o": {"ordered": [2, 1]}}
-    b = {"o": {"ordered": [2, 1]}, "a": "it's so", "b": ["Q5", 1, 3]}
+    b = {"o": {"ordered": [2, 1]}, "a": "it's so", "b": ["Q5", 1, 3, 1]}
     assert canonical.canonical(a) == canonical.canonical(b)
     assert canonical.canonical(canonical.canonical(a)) == canonical.canonical(a)
+    assert canonical.canonical([1, 1, 2]) == [1, 1, 2] != canonical.canonical([1, 2, 2])
     assert canonical.canonical({"ordered": [1, 2]}) != canonical.canonical({"ordered": [2, 1]})
+    assert canonical.canonical({"ordered": [1, 2]}, ordered=False) == canonical.canonical({"ordered": [2, 1]}, ordered=False)
+    assert canonical.grade_fields({"a": None}, {}) == {"a": True}
     assert canonical.parse_answer("```json\n{\"a\": 1}\n```") == {"a": 1}
     with pytest.raises(canonical.InvalidAnswer):
         canonical.parse_answer("{")
@@ -42,7 +45,20 @@ def test_canonical_is_stable_and_ignores_order():
 
 def test_scoped_strings_inherit_and_refuse_ambiguity():
     tree = {"qid": "Q1", "lang": "fr", "rows": [{"evidence": "a"}, {"qid": "Q2", "lang": "de", "text": "b"}], "pair": {"x": {"qid": "Q3"}, "y": {"qid": "Q4"}, "evidence": "c"}}
-    assert sorted(canonical.scoped_strings(tree), key=str) == sorted([("Q1", "fr", "a"), ("Q2", "de", "b"), (None, "fr", "c")], key=str)
+    assert sorted(canonical.scoped_strings(tree), key=str) == sorted([("Q1", "fr", "a"), ("Q2", "de", "b"), ("Q1", "fr", "c")], key=str)
+
+
+def test_scoped_strings_know_all_keys_of_scope():
+    assert [*canonical.scoped_strings({"entity": "Q5", "evidence": " t ", "evidence_language": "fr"})] == [("Q5", "fr", "t")]
+    assert [*canonical.scoped_strings({"entity": {"qid": "Q6"}, "text": "u", "id": "x1", "lang": "longer"})] == [("Q6", None, "u")]
+
+
+def test_grade_scores_lists_and_excludes_bookkeeping():
+    want = {"rows": [{"qid": "Q1", "n": 1}, {"qid": "Q2", "n": 2}], "who": {"a": 1}, "total": 2, "examined": 7}
+    out = canonical.grade(want, want | {"rows": [{"qid": "q2", "n": 2}, {"qid": "Q1", "n": 9}, "stray"], "examined": 8}, ["examined"])
+    assert (out["set_f1"], out["scalars_ok"], out["content_exact"], out["fields"]["rows"]["detail_ok"]) == (0.8, "2/3", False, "1/2")
+    assert canonical.grade(want, want | {"examined": 8}, ["examined"])["content_exact"] is True
+    assert canonical.grade([1, 1], [1])["set_f1"] == 0.0 and canonical.grade({"x": [1, 1, 2]}, {"x": [1, 2, 2]})["set_f1"] == 0.6667
 
 
 def test_components_and_closure_match_union_find(spark):
