@@ -254,7 +254,7 @@ ORACLES = {
         s AS (SELECT task, sum(least(coalesce(a, 0), coalesce(b, 0)))::BIGINT AS tp, sum(greatest(coalesce(b, 0) - coalesce(a, 0), 0))::BIGINT AS fp, sum(greatest(coalesce(a, 0) - coalesce(b, 0), 0))::BIGINT AS fn FROM a FULL JOIN b USING (task, p_brand) GROUP BY 1) SELECT *, {_F1} FROM s""",
     "row_identities": "SELECT l_orderkey AS task, CASE WHEN count(DISTINCT l_linenumber) = count(*) THEN 'id' WHEN count(DISTINCT l_partkey) = count(*) THEN 'item' END AS identity FROM lineitem GROUP BY 1",
     "exact_canonical": "SELECT c_custkey, c_custkey % 4 <> 0 AND c_custkey % 6 <> 5 AS exact FROM customer",
-    "graded_answers": """SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 6 = 1 THEN 0.6667 ELSE 1.0 END AS set_f1, CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 6 IN (2, 3) THEN '2/3' ELSE '3/3' END AS scalars_ok,
+    "graded_answers": """SELECT c_custkey, CAST(CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 6 = 1 THEN 0.6667 ELSE 1.0 END AS DOUBLE) AS set_f1, CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 6 IN (2, 3) THEN '2/3' ELSE '3/3' END AS scalars_ok,
         CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_custkey % 6 IN (3, 5) END AS content_exact FROM customer""",
     "seen_text_languages": """WITH c AS (SELECT user_id AS run, concat('Q', CAST(json_extract_string(props, '$.k') AS BIGINT) + 30000000) AS entity, event_type AS t, event_id AS i FROM events WHERE event_id % 5 <> 0),
         x AS (SELECT run, entity, unnest(CASE WHEN t = 'purchase' OR t = 'signup' AND i % 2 = 1 THEN ['en', 'fr', 'de', 'zh', 'ar', 'ru'] WHEN t = 'signup' THEN ['fr'] WHEN t = 'click' THEN ['en'] ELSE [] END) AS language FROM c)
