@@ -28,6 +28,8 @@ from .scratch import WORD, Scratch
 
 #: The most rounds, and how far off a marginal share may be.
 ROUNDS, TOLERANCE = 40, 1e-12
+#: Cells that one task rakes.
+ONE_TASK = 100_000
 #: Targets are the observed shares to this power, so that small sources gain and a hot one loses.
 TEMPER = 0.7
 #: Share of all tokens that the sample should hold.
@@ -66,14 +68,17 @@ def rake(cells: DataFrame, dims: list[str], scratch: Scratch, rounds: int = ROUN
     rounds stop once no marginal is off by more than ``tolerance``.
     """
     now = scratch.write(cells.withColumn("weight", F.col("tokens").cast("double")))
+    # few cells are one task's work, which needs no shuffle; the steps are the same
+    few = now.count() <= ONE_TASK
+    together = lambda df: df.coalesce(1) if few else df
     for _ in range(rounds):
-        step = now
+        step = together(now)
         for dim in dims:
             sums = step.groupBy(dim).agg(F.sum("weight").alias("held"))
-            step = step.join(sums, dim).withColumn("weight", F.when(F.col("held") > 0, F.col("weight") * F.col(f"share_{dim}") / F.col("held")).otherwise(0.0)).drop("held")
+            step = step.join(sums.hint("merge"), dim).withColumn("weight", F.when(F.col("held") > 0, F.col("weight") * F.col(f"share_{dim}") / F.col("held")).otherwise(0.0)).drop("held")
         before, now = now, scratch.write(step)
         scratch.drop(before)
-        off = [now.groupBy(dim).agg(F.abs(F.sum("weight") - F.max(f"share_{dim}")).alias("off")).select("off") for dim in dims]
+        off = [together(now).groupBy(dim).agg(F.abs(F.sum("weight") - F.max(f"share_{dim}")).alias("off")).select("off") for dim in dims]
         if (reduce(DataFrame.union, off).agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
     return now

@@ -327,7 +327,9 @@ def plain_probabilities(held):
     return {k: min(1.0, c * x / held[k]) for k, x in w.items()}
 
 
-def test_mixing_equals_the_plain_rounds(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_mixing_equals_the_plain_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "ONE_TASK", few)
     rnd = random.Random(8)
     rows = [(i, " ".join(["w"] * rnd.randint(0, 1200)), rnd.choice(["a", "a", "b", None]), rnd.choice(["en", "fr", ""]), 3) for i in range(120)] + [(7, None, "c", "de", 1), (None, "x", "a", "en", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, tokens int")
