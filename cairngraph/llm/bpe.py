@@ -30,8 +30,8 @@ from .scratch import small_batches
 #: White space as the rank files' own library sees it (the Unicode property), spelt out.
 SPACE = r"\t-\r \x85\xa0  -     　"
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Pieces whose ids a worker remembers, and their longest length.
-CACHED_PIECES, CACHED_LENGTH, PAIR_MEMO = 1_000_000, 40, 2_000_000
+#: Pieces (no longer than CACHED_LENGTH) and pairs of tokens that a worker remembers in one generation; of two generations the older goes when the younger is full, so what is in use stays.
+CACHED_PIECES, CACHED_LENGTH, PAIR_MEMO = 100_000, 40, 150_000
 
 
 def explicit_space(pattern: str) -> str:
@@ -59,7 +59,9 @@ class Codec:
         self.pairs = {h: i for i, h in enumerate(self.halves) if h[0] != i}
         self.shorter: dict[int, int] = {}
         self.memo: dict[int, bool] = {}
+        self.old_memo: dict[int, bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.old_cache: dict[str, tuple[int, ...]] = {}
         self.find = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.find.add_word(token.decode("latin-1"), rank)
@@ -86,7 +88,7 @@ class Codec:
         known = self.memo.get(key)
         if known is not None:
             return known
-        halves, pairs, limit, answer = self.halves, self.pairs, 1 << 60, None
+        halves, pairs, limit, answer = self.halves, self.pairs, 1 << 60, self.old_memo.get(key)
         left, right = a, b
         while answer is None:
             made = pairs.get((left, right))
@@ -105,7 +107,7 @@ class Codec:
                     if left == limit:
                         answer = True
         if len(self.memo) >= PAIR_MEMO:
-            self.memo.clear()
+            self.old_memo, self.memo = self.memo, {}
         self.memo[key] = answer
         return answer
 
@@ -166,10 +168,14 @@ class Codec:
         for piece in self.split.findall(text):
             ids = known(piece)
             if ids is None:
-                ids = tuple(self.encode_piece(piece.encode("utf-8")))
+                ids = self.old_cache.get(piece)
+                if ids is None:
+                    ids = tuple(self.encode_piece(piece.encode("utf-8")))
                 if len(piece) <= CACHED_LENGTH:
                     if len(cache) >= CACHED_PIECES:
-                        cache.clear()
+                        self.old_cache = cache
+                        cache = self.cache = {}
+                        known = cache.get
                     cache[piece] = ids
             out += ids
         return out
