@@ -13,7 +13,8 @@ def charges(log: DataFrame) -> DataFrame:
 
     A call costs 1, except: reads_left; has, name and rank when every id was returned by an earlier call of the run
     (so a miss, with no ids, is free); and edges of a node after one unfiltered call of it in both directions.
-    args of edges: id, direction, relation.
+    args of edges: id, direction, relation.  Where log has a boolean column ``free`` (reads of a record that is open
+    already), calls marked there cost nothing; null counts as not free.
     """
     ids = log.select("run", "seq", F.explode_outer("ids").alias("id"))
     first = ids.where("id is not null").groupBy("run", "id").agg(F.min("seq").alias("first"))
@@ -23,6 +24,8 @@ def charges(log: DataFrame) -> DataFrame:
     rows = log.join(fresh, ["run", "seq"], "left").withColumn("new", F.coalesce("new", F.lit(False)))
     repeated = F.coalesce(F.max(full).over(before), F.lit(False)) & (F.col("fn") == "edges")
     cost = (F.col("fn") != "reads_left") & ~(F.col("fn").isin(*FREE_WHEN_SEEN) & ~F.col("new")) & ~F.col("repeated") & (F.col("fn") != "degree")
+    if "free" in log.columns:
+        cost = cost & ~F.coalesce(F.col("free"), F.lit(False))
     charged = rows.withColumn("repeated", repeated).withColumn("charged", cost.cast("int"))
     return charged.withColumn("spent", F.sum("charged").over(Window.partitionBy("run").orderBy("seq"))).drop("repeated")
 

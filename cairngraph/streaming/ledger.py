@@ -31,7 +31,7 @@ def windowed_reads(events: DataFrame, width: str = "1 hour", late: str = "2 hour
 
 
 def charge_stream(log: DataFrame) -> DataFrame:
-    """run, seq, charged, spent of a stream of calls (run, seq, fn, id, full): the rules of the ledger with state per run.
+    """run, seq, charged, spent of a stream of calls (run, seq, fn, id, full, and free if there is such a column): the rules of the ledger with state per run.
 
     State holds the ids seen and the nodes fully expanded; it grows with what one run has read, which its budget bounds.
     Calls of a run must arrive in order of ``seq`` across batches; within a batch they are sorted here.
@@ -40,9 +40,10 @@ def charge_stream(log: DataFrame) -> DataFrame:
         seen, opened, spent = (set(state.get[0]), set(state.get[1]), state.get[2]) if state.exists else (set(), set(), 0)
         rows = pd.concat(list(frames)).sort_values("seq")
         out = []
-        for seq, fn, i, full in zip(rows["seq"], rows["fn"], rows["id"], rows["full"], strict=True):
+        marked = rows["free"] if "free" in rows else [False] * len(rows)
+        for seq, fn, i, full, given in zip(rows["seq"], rows["fn"], rows["id"], rows["full"], marked, strict=True):
             fresh = isinstance(i, str) and i not in seen
-            free = fn in ("reads_left", "degree") or (fn in FREE_WHEN_SEEN and not fresh) or (fn == "edges" and i in opened)
+            free = given == 1 or fn in ("reads_left", "degree") or (fn in FREE_WHEN_SEEN and not fresh) or (fn == "edges" and i in opened)
             seen |= {i} if isinstance(i, str) else set()
             opened |= {i} if fn == "edges" and full else set()
             spent += not free

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from cairngraph import agent
 from cairngraph.facade import GraphClient
+from cairngraph.operators import ledger as batch
 from cairngraph.operators.nav import Policy
 from cairngraph.streaming import ledger
 
@@ -44,3 +45,43 @@ def test_client(spark):
         raise AssertionError
     except KeyError:
         pass
+
+
+def test_client_records(spark):
+    nodes = spark.createDataFrame([(1, "one", 9), (2, "two", 9)], "qid long, label_en string, class_id int")
+    edges = spark.createDataFrame([(1, 5, 2)], "src long, prop int, dst long")
+    claims = spark.createDataFrame([(1, 5, 2, "normal", 0), (1, 6, 2, "deprecated", 1)], "subject long, prop int, value long, rank string, place int")
+    sources = spark.createDataFrame([(1, 5, 2, "P248", "Q7"), (1, 5, 2, "P248", "Q7"), (1, 6, 2, None, None)], "subject long, prop int, value long, source_prop string, source string")
+    records = spark.createDataFrame([(1, 9, "one", "un", None, "first", "")], "qid long, class_id int, label_en string, label_fr string, label_de string, description_en string, description_fr string")
+    names = spark.createDataFrame([(5, "en", "part of"), (5, "fr", "partie de"), (50, "en", "parting"), (6, "de", "Teil")], "pid int, language string, label string")
+    g = GraphClient(nodes, edges, claims, sources=sources, records=records, property_labels=names)
+    assert g.claims("Q1") == [{"property": "P5", "property_label": "part of", "value": "Q2", "value_label": "two", "rank": "normal"}]
+    assert [c["property"] for c in g.claims("Q1", all_ranks=True)] == ["P5", "P6"] and g.claims("Q1", 6) == []
+    assert g.references("Q1") == [{"property": "P5", "property_label": "part of", "value": "Q2", "sources": [{"property": "P248", "value": "Q7"}]}]
+    assert g.entity("Q1") == {"id": "Q1", "label": "one", "description": "first", "instance_of": 9, "properties": ["P5", "P6"], "n_properties": 2}
+    assert set(g.describe("Q1")["languages"]) == {"en", "fr"} and set(g.describe("Q1", ("de", "fr"))["languages"]) == {"fr"}
+    assert g.label("Q1", "fr") == "un" and g.label("Q1", "de") is None and g.labels("Q1") == {"en": "one", "fr": "un"}
+    assert g.description("Q1") == "first" and g.descriptions("Q1") == {"en": "first"}
+    assert g.log.spent == 1 and "Q2" in g.log.seen  # all of one record
+    assert g.search_property(" ") == (0, []) and g.log.spent == 1
+    assert g.search_property("Part") == (2, [{"pid": "P5", "label": "part of", "lang": "en"}, {"pid": "P50", "label": "parting", "lang": "en"}]) and g.log.spent == 2
+    for call in (g.claims, g.references, g.entity, g.describe, g.labels):
+        try:
+            call("Q3")
+            raise AssertionError
+        except KeyError:
+            pass
+    assert g.log.spent == 2
+    g.degree("Q2")
+    assert g.log.calls[-1]["ids"] == ["Q2"]
+
+
+def test_calls_marked_free_cost_nothing(spark, tmp_path):
+    schema = "run string, seq long, fn string, args array<string>, ids array<string>, free boolean"
+    calls = [("r", 0, "claims", ["Q1"], ["Q1"], False), ("r", 1, "entity", ["Q1"], ["Q1"], True), ("r", 2, "label", ["Q2"], ["Q2"], None)]
+    rows = batch.charges(spark.createDataFrame(calls, schema)).orderBy("seq").collect()
+    assert [r["spent"] for r in rows] == [1, 1, 2]
+    flat = "run string, seq long, fn string, id string, full boolean, free boolean"
+    spark.createDataFrame([(r, n, fn, args[0], False, free) for r, n, fn, args, _, free in calls], flat).coalesce(1).write.parquet(str(tmp_path / "in"))
+    ledger.resume(ledger.charge_stream(ledger.arriving(spark, str(tmp_path / "in"), flat)), str(tmp_path / "out"), str(tmp_path / "mark"))
+    assert [r["spent"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect()] == [1, 1, 2]
