@@ -19,7 +19,7 @@ class GraphClient:
 
     claims: subject, prop, value, rank, place; texts: entity, language, description, doc_id; sources: subject, prop, value, source_prop, source;
     records: qid and a column per field and language, as ``build.pivot_texts`` makes them (else the nodes' own columns serve); property_labels: pid, language, label.
-    The first call that opens an entity's record costs a read, later ones of that record are free.
+    The first call that opens an entity's record costs a read, later ones of that record are free; descriptions out of ``texts`` are no part of a record and cost a read each.
     """
 
     def __init__(
