@@ -70,7 +70,9 @@ def _placed(signed: str, table: str) -> str:
 
 def sketch(keys: str, table: str = str(TABLE)) -> str:
     """SQL for the sketch of an array of digests."""
-    cells = lambda t: f"transform(sequence(0, {table} - 1), i -> aggregate(filter(en, x -> x.{t} = i), {_EMPTY}, (a, x) -> named_struct('n', a.n + x.n, 'key', a.key ^ x.key, 'chk', a.chk ^ x.chk)))"
+    # a cell that no digest goes to isn't worked out
+    cell = lambda t: f"if(array_contains(at, i), aggregate(filter(en, x -> x.{t} = i), {_EMPTY}, (a, x) -> named_struct('n', a.n + x.n, 'key', a.key ^ x.key, 'chk', a.chk ^ x.chk)), {_EMPTY})"
+    cells = lambda t: _bound(f"en.{t}", "at", f"transform(sequence(0, {table} - 1), i -> {cell(t)})")
     entries = _placed(f"transform({keys}, x -> named_struct('key', x, 'n', 1))", table)
     return _bound(entries, "en", f"named_struct('p', {cells('p')}, 'q', {cells('q')}, 'r', {cells('r')})")
 
@@ -99,8 +101,9 @@ def peel(cells: str, table: str) -> str:
     """SQL for whole (no cell is left), and the digests of the first (plus) and the second text only (minus): each round takes all digests that stand alone in a cell out of the sketch."""
     pure = f"array_distinct(transform(filter(concat(st.cells.p, st.cells.q, st.cells.r), c -> (c.n = 1 OR c.n = -1) AND {_check('c.key')} = c.chk), c -> named_struct('key', c.key, 'n', c.n)))"
     side = lambda n: f"transform(filter(pk, u -> u.n = {n}), u -> u.key)"
-    # a cell without anything holds none of them
-    less = lambda t: f"transform(st.cells.{t}, (c, i) -> if(c.n = 0 AND c.key = 0L, c, aggregate(filter(pl, x -> x.{t} = i), c, (a, x) -> named_struct('n', a.n - x.n, 'key', a.key ^ x.key, 'chk', a.chk ^ x.chk))))"
+    # only cells that one of them goes to change
+    cell = lambda t: f"if(array_contains(at, i), aggregate(filter(pl, x -> x.{t} = i), c, (a, x) -> named_struct('n', a.n - x.n, 'key', a.key ^ x.key, 'chk', a.chk ^ x.chk)), c)"
+    less = lambda t: _bound(f"pl.{t}", "at", f"transform(st.cells.{t}, (c, i) -> {cell(t)})")
     after = _bound(_placed("pk", table), "pl", f"named_struct('p', {less('p')}, 'q', {less('q')}, 'r', {less('r')})")
     step = _bound(pure, "pk", f"if(size(pk) = 0, named_struct('cells', st.cells, 'plus', st.plus, 'minus', st.minus, 'go', false), named_struct('cells', {after}, 'plus', concat(st.plus, {side('1')}), 'minus', concat(st.minus, {side('-1')}), 'go', true))")
     start = f"named_struct('cells', {cells}, 'plus', {_NONE}, 'minus', {_NONE}, 'go', true)"
@@ -123,13 +126,19 @@ def likeness(a: str, b: str, d: str) -> str:
     return f"CASE WHEN size({a}) + size({b}) = 0 THEN 1.0D ELSE (size({a}) + size({b}) - size({d}.plus) - size({d}.minus)) / cast(size({a}) + size({b}) + size({d}.plus) + size({d}.minus) AS double) END"
 
 
+def sketched(df: DataFrame, text: str, x: str) -> DataFrame:
+    """Adds k<x>, l<x> and s<x>: the digests of a text, the levels by which they are dealt, and their sketches."""
+    return df.withColumn(f"k{x}", F.expr(digests(text))).withColumn(f"l{x}", F.expr(levels(f"k{x}"))).withColumn(f"s{x}", F.expr(sketches(f"k{x}", f"l{x}")))
+
+
 def with_next(docs: DataFrame, key: str, text: str, bucket: int = BUCKET) -> DataFrame:
-    """key, text (null: empty) and next_text, the text of the next row by descending key; after the last comes the first.
+    """key, text (null: empty) and next_text, the text of the next row by descending key (after the last comes the first), with the sketches of both (``a`` and ``n``).
 
     Rows meet in buckets of neighbouring keys: bounds from approximate quantiles, between which
     keys are cut evenly, and a key with more rows than a bucket is cut by the hashes of its texts.
     Each bucket also gets a copy of the row that follows its last; so texts are shuffled once, and
-    no task sees all rows.  Buckets, and rows of one, grow with the square root of all rows.
+    no task sees all rows.  A text is sketched once, after that shuffle, for itself and for the row
+    before it.  Buckets, and rows of one, grow with the square root of all rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("place")).withColumn("tie", F.xxhash64("text"))
@@ -163,7 +172,7 @@ def with_next(docs: DataFrame, key: str, text: str, bucket: int = BUCKET) -> Dat
     # one row per bucket; the sequence runs from high places to low ones and, within a place, from low hashes to high ones
     first = rows.groupBy(*at).agg(F.max(F.struct("place", F.bitwise_not("tie").alias("tie"))).alias("m")).collect()
     if not first:
-        return rows.select("key", "text", F.col("text").alias("next_text"))
+        return sketched(sketched(rows.select("key", "text", F.col("text").alias("next_text")), "text", "a"), "next_text", "n")
     order = sorted(first, key=lambda r: (-r["part"], -r["cut"], -r["place_of"], r["sub"]))
     ghosts = [(order[(i + 1) % len(order)]["m"]["place"], ~order[(i + 1) % len(order)]["m"]["tie"], *[r[c] for c in at]) for i, r in enumerate(order)]
     moved = spark.createDataFrame(ghosts, "place long, tie long, " + ", ".join(f"{c} int" for c in at))
@@ -171,7 +180,9 @@ def with_next(docs: DataFrame, key: str, text: str, bucket: int = BUCKET) -> Dat
     copies = own.join(F.broadcast(moved), ["place", "tie"]).groupBy(*at, "place", "tie").agg(F.min("text").alias("text")).select(F.lit(None).cast(rows.schema["key"].dataType).alias("key"), "text", "place", "tie", *at, F.lit(1).alias("copy"))
     both = rows.select("key", "text", "place", "tie", *at, F.lit(0).alias("copy")).union(copies)
     sequence = Window.partitionBy(*at).orderBy("copy", F.desc("place"), "tie")
-    return both.withColumn("next_text", F.lead("text").over(sequence)).where("copy = 0").select("key", "text", "next_text")
+    held = sketched(both.repartition(*at), "text", "a")
+    led = held.withColumn("next", F.lead(F.struct("text", "ka", "la", "sa")).over(sequence)).where("copy = 0")
+    return led.select("key", "text", "ka", "la", "sa", F.col("next.text").alias("next_text"), *[F.col(f"next.{x}a").alias(f"{x}n") for x in "kls"])
 
 
 def edited(df: DataFrame) -> DataFrame:
@@ -180,10 +191,8 @@ def edited(df: DataFrame) -> DataFrame:
 
 
 def compare(df: DataFrame) -> DataFrame:
-    """key, n_chars, edited_sha256, both fingerprints and both likenesses of rows with text, edited and next_text."""
-    keys = df.select("key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.expr(digests("text")).alias("ka"), F.expr(digests("edited")).alias("ke"), F.expr(digests("next_text")).alias("kn"))
-    sized = keys.select("*", F.expr(levels("ka")).alias("la"), F.expr(levels("ke")).alias("le"), F.expr(levels("kn")).alias("ln"))
-    held = sized.select("*", *[F.expr(sketches(f"k{x}", f"l{x}")).alias(f"s{x}") for x in "aen"])
+    """key, n_chars, edited_sha256, both fingerprints and both likenesses of rows of ``with_next`` with edited."""
+    held = sketched(df, "edited", "e").withColumn("edited_sha256", F.sha2("edited", 256)).drop("text", "edited", "next_text")
     at = lambda x, y: f"if(l{x} >= l{y}, s{x}, {sketches(f'k{x}', f'l{y}')})"
     pair = lambda x, y: F.expr(differing(f"k{x}", f"k{y}", at(x, y), at(y, x), f"greatest(l{x}, l{y})"))
     counted = held.select("*", pair("a", "e").alias("de"), pair("a", "n").alias("dn"))
