@@ -3,29 +3,35 @@
 Every step is a pre-aggregated minimum per node joined back to its edges, so a node
 with very many neighbours never gathers them in one task (the join's skew is split at
 run time).  Each round is written to the shared folder, which cuts the lineage and
-survives lost executors.
+survives lost executors.  Few edges take the same steps in one task, without shuffles or
+broadcasts, so that small rounds don't cost the driver a plan of many tasks each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, one_task
+
+#: Edges that one task takes through a round.
+ONE_TASK = 100_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, together: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Joins every larger neighbour of a node to the smallest of the node and its neighbours."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = together(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return together(both.where("b > a").join(least.hint("merge"), "a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, together: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Joins a node's smaller neighbours, and itself, to the smallest of them; edges are (larger, smaller)."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    down = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return down.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    down = together(edges.join(least.hint("merge"), "a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return together(down.union(least.select("a", F.col("m").alias("b")))).where("a <> b").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -36,9 +42,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = scratch.write(e)
+    # a round has at most two edges for each of these
+    together = one_task(now.count() <= ONE_TASK)
     mark_before = None
     while True:
-        after = scratch.write(_small_star(_large_star(now)))
+        after = scratch.write(_small_star(_large_star(together(now), together), together))
         mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(now)
         now = after

@@ -19,12 +19,13 @@ meet together end after ``ROUNDS`` rounds with those of the last dimension met.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import WORD, Scratch
+from .scratch import WORD, Scratch, one_task
 
 #: The most rounds, and how far off a marginal share may be.
 ROUNDS, TOLERANCE = 40, 1e-12
@@ -61,6 +62,15 @@ def _target(cells: DataFrame, dim: str, given: dict[str, float] | None) -> DataF
     return shares.select(dim, (F.col("share") / F.lit(whole)).alias(f"share_{dim}"))
 
 
+def _scaled(cells: DataFrame, dims: list[str], together: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One round: the cells with weights scaled to the shares of each dimension in turn."""
+    step = together(cells)
+    for dim in dims:
+        sums = step.groupBy(dim).agg(F.sum("weight").alias("held"))
+        step = together(step.join(sums.hint("merge"), dim)).withColumn("weight", F.when(F.col("held") > 0, F.col("weight") * F.col(f"share_{dim}") / F.col("held")).otherwise(0.0)).drop("held")
+    return step
+
+
 def rake(cells: DataFrame, dims: list[str], scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """Cells (dims, tokens, share_ of each dim) with weights whose marginals are the shares: a table of ``scratch``.
 
@@ -69,17 +79,13 @@ def rake(cells: DataFrame, dims: list[str], scratch: Scratch, rounds: int = ROUN
     """
     now = scratch.write(cells.withColumn("weight", F.col("tokens").cast("double")))
     # few cells are one task's work, which needs no shuffle; the steps are the same
-    few = now.count() <= ONE_TASK
-    together = lambda df: df.coalesce(1) if few else df
+    together = one_task(now.count() <= ONE_TASK)
     for _ in range(rounds):
-        step = together(now)
-        for dim in dims:
-            sums = step.groupBy(dim).agg(F.sum("weight").alias("held"))
-            step = step.join(sums.hint("merge"), dim).withColumn("weight", F.when(F.col("held") > 0, F.col("weight") * F.col(f"share_{dim}") / F.col("held")).otherwise(0.0)).drop("held")
+        step = _scaled(now, dims, together)
         before, now = now, scratch.write(step)
         scratch.drop(before)
         off = [together(now).groupBy(dim).agg(F.abs(F.sum("weight") - F.max(f"share_{dim}")).alias("off")).select("off") for dim in dims]
-        if (reduce(DataFrame.union, off).agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+        if (together(reduce(DataFrame.union, off)).agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
     return now
 
@@ -106,12 +112,13 @@ def mix(docs: DataFrame, key: str, text: str, source: str, language: str, target
     rows = rows.withColumn("topic", topic(F.col("text"), F.col("tokens"))).drop("text")
     scratch = Scratch(docs.sparkSession, "mixing")
     cells = scratch.write(rows.groupBy(*dims).agg(F.sum("tokens").alias("tokens")))
-    total = cells.agg(F.sum("tokens")).first()[0]
+    total, n = cells.agg(F.sum("tokens"), F.count(F.lit(1))).first()
     if total is None:
         return rows.select("row", *dims, "tokens", F.lit(0.0).alias("p"), F.lit(False).alias("kept"))
-    wanted = cells
+    together = one_task(n <= ONE_TASK)
+    wanted = together(cells)
     for dim in dims:
-        wanted = wanted.join(_target(cells, dim, (targets or {}).get(dim)), dim)
+        wanted = together(wanted.join(_target(together(cells), dim, (targets or {}).get(dim)), dim))
     raked = rake(wanted, dims, scratch)
     c = factor(raked, BUDGET * total)
     table = scratch.write(raked.select(*dims, F.least(F.lit(1.0), F.lit(c) * F.col("weight") / F.col("tokens")).alias("p")))

@@ -138,6 +138,23 @@ def test_components_by_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long"), scratch.Scratch(spark, "t")).count() == 0
 
 
+def test_components_are_the_same_in_one_task_and_in_many(spark, monkeypatch):
+    rnd = random.Random(6)
+    edges = spark.createDataFrame([(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)], "a long, b long")
+    one = set(components.components(edges, scratch.Scratch(spark, "t")).collect())
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    assert one == set(components.components(edges, scratch.Scratch(spark, "t")).collect())
+
+
+def test_rounds_over_few_rows_need_no_shuffle(spark):
+    together = scratch.one_task(True)
+    edges = scratch.Scratch(spark, "t").write(spark.range(1, 100).selectExpr("id AS a", "id - 1 AS b").repartition(7))
+    cells = scratch.Scratch(spark, "t").write(spark.range(60).selectExpr("id % 3 AS x", "id % 4 AS y", "id % 5 AS z", "1.0D AS weight", "0.33D AS share_x", "0.25D AS share_y", "0.2D AS share_z").repartition(7))
+    for df in (components._small_star(components._large_star(together(edges), together), together), mixing._scaled(cells, ["x", "y", "z"], together)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and df.rdd.getNumPartitions() == 1
+
+
 def test_word_hashes_cut_pieces_at_words(monkeypatch):
     text = (" ".join("".join(random.Random(i).choice("abcXYZé") for _ in range(i % 9 + 1)) for i in range(500)) + " " + "w" * 9000).encode()
     whole = shingles.word_hashes(text)
