@@ -79,38 +79,38 @@ def payload_of(block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2]
 
 
-def _packed(records: Iterator[bytes]) -> Iterator[str]:
+def _packed(records: Iterator[bytes]) -> Iterator[bytes]:
     """Runs of records of about ARCHIVE_BYTES, as the writer's rows."""
     held, size = [], 0
     for r in records:
         if held and size + len(r) > ARCHIVE_BYTES:
-            yield END.join(held)
+            yield END.encode().join(held)
             held, size = [], 0
-        held.append(r.decode("utf-8"))
+        held.append(r)
         size += len(r) + len(END)
     if held:
-        yield END.join(held)
+        yield END.encode().join(held)
 
 
-def _rows(texts: Iterator[str]) -> Iterator[pa.RecordBatch]:
-    for text in texts:
-        yield pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["value"])
+def _rows(runs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    for run in runs:
+        yield pa.RecordBatch.from_arrays([pa.array([run], pa.binary()).cast(pa.string())], ["value"])
 
 
-def _save(archives: DataFrame, path: str) -> None:
+def _save(archives: DataFrame, path: str, level: str = "DEFAULT_COMPRESSION") -> None:
     """A file per row, packed; the separator after a row closes its last record."""
-    archives.write.option("lineSep", END).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    archives.write.option("lineSep", END).option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", level).text(path)
 
 
-def write(rows: DataFrame, page: str, url: str, payload: str, path: str) -> None:
-    """A response record per row of ``rows``, in archives under ``path``."""
+def write(rows: DataFrame, page: str, url: str, payload: str, path: str, level: str = "DEFAULT_COMPRESSION") -> None:
+    """A response record per row of ``rows``, in archives under ``path``; ``level`` is Hadoop's name of a gzip level: BEST_SPEED suits archives that are soon read and dropped."""
     small_batches(rows.sparkSession)
 
     def run(batches):
         def records():
             for batch in batches:
-                for key, address, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    body = (body or "").encode()
+                for key, address, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                    body = body or b""
                     sha = digest(body)
                     fields = [("WARC-Type", "response"), ("WARC-Record-ID", record_id(key, sha)), ("WARC-Date", DATE), ("WARC-Target-URI", _address(address))]
                     if key is not None:
@@ -120,7 +120,7 @@ def write(rows: DataFrame, page: str, url: str, payload: str, path: str) -> None
 
         return _rows(_packed(records()))
 
-    _save(rows.select(F.col(page).cast("long"), F.col(url).cast("string"), F.col(payload).cast("string")).mapInArrow(run, "value string"), path)
+    _save(rows.select(F.col(page).cast("long"), F.col(url).cast("string"), F.col(payload).cast("string")).mapInArrow(run, "value string"), path, level)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -169,8 +169,8 @@ def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.withColumn("decision", F.when(own, "response").otherwise("revisit")).withColumn("refers", F.when(~own, F.struct("w.page_id", "w.record_id", "w.url")))
 
 
-def rewrite(spark: SparkSession, source: str, decisions: DataFrame, target: str) -> None:
-    """New archives of the records under ``source``: responses as they are, revisits without payload, all with fresh headers.
+def rewrite(spark: SparkSession, source: str, decisions: DataFrame, target: str, level: str = "DEFAULT_COMPRESSION") -> None:
+    """New archives of the records under ``source``: responses as they are, revisits without payload, all with fresh headers; ``level`` as in ``write``.
 
     Decisions meet an archive by its file name: lists are as long as an archive, which is bounded.
     """
@@ -199,7 +199,7 @@ def rewrite(spark: SparkSession, source: str, decisions: DataFrame, target: str)
 
     listed = decisions.groupBy("file").agg(F.collect_list(F.struct("offset", "page_id", "decision", "refers")).alias("listed"))
     joined = _files(spark, source).join(listed.withColumnRenamed("file", "path"), "path").select("content", "listed")
-    _save(joined.mapInArrow(run, "value string"), target)
+    _save(joined.mapInArrow(run, "value string"), target, level)
 
 
 def follow(headers: DataFrame) -> DataFrame:

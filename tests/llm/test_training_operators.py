@@ -296,6 +296,23 @@ def test_warc_files_hold_whole_records(spark, tmp_path):
     assert len(records) == 20 and records[0][1]["warc-type"] == "response" and warc.payload_of(records[3][2]) == b"x" * 100
 
 
+def test_warc_levels_hold_the_same_records(spark, tmp_path):
+    rnd = random.Random(5)
+    page = [" ".join(rnd.choice(["wörter", "ß", "漢字", "🙂", "plain", "<p>"]) for _ in range(4000)) for _ in range(20)]
+    df = spark.createDataFrame([(i, "u", page[i // 2]) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    data, sizes = {}, {}
+    for level in ("DEFAULT_COMPRESSION", "BEST_SPEED"):
+        raw, fresh = f"file://{tmp_path}/raw-{level}", f"file://{tmp_path}/fresh-{level}"
+        warc.write(df, "page_id", "url", "html", raw, level=level)
+        warc.rewrite(spark, raw, warc.resolve(warc.read_headers(spark, raw)), fresh, level=level)
+        for kind in ("raw", "fresh"):
+            files = [f.read_bytes() for f in (tmp_path / f"{kind}-{level}").glob("part-*.gz")]
+            data[kind, level], sizes[kind, level] = b"".join(map(gzip.decompress, files)), sum(map(len, files))
+    for kind in ("raw", "fresh"):
+        assert data[kind, "BEST_SPEED"] == data[kind, "DEFAULT_COMPRESSION"] and sizes[kind, "BEST_SPEED"] > sizes[kind, "DEFAULT_COMPRESSION"]
+    assert [warc.payload_of(b).decode() for _, _, b in warc.parse(data["raw", "BEST_SPEED"])] == [page[i // 2] for i in range(40)]
+
+
 def test_warc_of_no_pages(spark):
     s = scratch.Scratch(spark, "t")
     raw = s.path("raw")
