@@ -35,14 +35,14 @@ def notability(score: Column, sitelinks: Column, degree: Column) -> Column:
     return score * (1 + SITELINK_WEIGHT * sitelinks + DEGREE_WEIGHT * F.log1p(degree))
 
 
-def search_entity(postings: DataFrame, notable: DataFrame, queries: DataFrame, n_docs: int, lengths: DataFrame, limit: int = 10, depth: int = SEARCH_DEPTH) -> DataFrame:
-    """query, total, place, qid, score: the best ``depth`` by text, re-ranked by notability, cut at ``limit`` (both are the operator's feature)."""
+def search_entity(postings: DataFrame, notable: DataFrame, queries: DataFrame, n_docs: int, lengths: DataFrame, limit: int = 10, depth: int | None = SEARCH_DEPTH) -> DataFrame:
+    """query, total, place, qid, score: the best ``depth`` by text (None: all), re-ranked by notability, cut at ``limit`` (both are the operator's feature)."""
     from pyspark.sql import Window
 
     found = bm25(postings, queries, n_docs, lengths)
     total = found.groupBy("query").agg(F.count(F.lit(1)).alias("total"))
     by = lambda c: F.row_number().over(Window.partitionBy("query").orderBy(F.desc(c), "qid"))
-    deep = found.withColumn("_p", by(F.round("score", 9))).where(F.col("_p") <= depth).drop("_p")
+    deep = found if depth is None else found.withColumn("_p", by(F.round("score", 9))).where(F.col("_p") <= depth).drop("_p")
     weighted = deep.join(notable, "qid").withColumn("score", F.round(notability(F.col("score"), F.col("sitelinks"), F.col("degree")), 6))
     return weighted.withColumn("place", by("score")).where(F.col("place") <= limit).join(total, "query").select("query", "total", "place", "qid", "score")
 
