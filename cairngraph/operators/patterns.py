@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spread import spread
+
 
 def intersection(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """Rows of a whose ``on`` columns occur in b, once."""
@@ -27,6 +29,12 @@ def shared_by_all(pools: DataFrame, group: list[str], hub: str, member: str, n:
     return pools.groupBy(*group, member).agg(F.countDistinct(hub).alias("hubs")).where(F.col("hubs") == n).drop("hubs")
 
 
+def shared_with_totals(pools: DataFrame, group: list[str], hub: str, member: str, n: int, total: str, parts: int = 1) -> DataFrame:
+    """``shared_by_all`` with its group's number of distinct members: the pools are dealt by group to ``parts`` tasks once, and counted, totalled and filtered there."""
+    counts = spread(pools, parts, *group).groupBy(*group, member).agg(F.countDistinct(hub).alias("hubs"))
+    return counts.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*group))).where(F.col("hubs") == n).drop("hubs")
+
+
 def top_with_ties(counts: DataFrame, group: list[str], value: str) -> DataFrame:
     """All rows with their group's largest value; the rank bound becomes a group limit below the shuffle."""
     w = Window.partitionBy(*group).orderBy(F.desc(value)) if group else None

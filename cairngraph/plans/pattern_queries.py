@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import build, nav, patterns, traverse
+from ..operators.spread import parts
 from .common import GRAPH, NODES, Graph
 
 
@@ -27,11 +28,9 @@ def pool_difference(spark, sf_dir):
 
 def shared_hub(spark, sf_dir):
     """Suppliers that all five parts of a window of five share, and each window's independent total."""
-    e = Graph(spark, sf_dir).relation(7)
-    pools = e.select(F.floor((F.col("src") - 30000000) / 5).alias("five"), F.col("src").alias("part"), F.col("dst").alias("supplier"))
-    shared = patterns.shared_by_all(pools, ["five"], "part", "supplier", 5)
-    totals = pools.groupBy("five").agg(F.countDistinct("supplier").alias("suppliers"))
-    return shared.join(totals, "five")
+    g = Graph(spark, sf_dir)
+    pools = g.relation(7).select(F.floor((F.col("src") - 30000000) / 5).alias("five"), F.col("src").alias("part"), F.col("dst").alias("supplier"))
+    return patterns.shared_with_totals(pools, ["five"], "part", "supplier", 5, "suppliers", parts(g.raw_edges.where("prop = 7")))
 
 
 def union_missing_columns(spark, sf_dir):
