@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from cairngraph.operators import search
+from cairngraph.operators import build, nav, patterns, search, spread
 from cairngraph.plans import search_queries
+from cairngraph.plans.common import Graph
 from compare import rows, tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -14,3 +15,35 @@ def test_search_query_ranks_all_that_match(spark, monkeypatch):
     df = search_queries.search_entity(spark, FOLDER)
     relation = tables(FOLDER).sql(search_queries.ORACLES["search_entity"])
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(list(relation.columns), relation.fetchall())
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_members_and_totals_take_one_shuffle(spark):
+    rows = [(f, p, s) for f in range(3) for p in range(2) for s in range(3) if f or p != s] + [(0, 0, 2)]
+    pools = spark.createDataFrame(rows, "five int, part int, supplier int")
+    out = patterns.shared_with_totals(pools, ["five"], "part", "supplier", 2, "suppliers", 4)
+    assert sorted(map(tuple, out.collect())) == [(0, 2, 3)] + [(f, s, 3) for f in (1, 2) for s in range(3)]
+    assert plan(patterns.shared_with_totals(pools, ["five"], "part", "supplier", 2, "suppliers", 4)).split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_tasks_grow_with_the_rows(spark):
+    few, many = spark.range(1000), spark.range(10_000_000)
+    assert spread.parts(few) == 1 and 70 <= spread.parts(many) <= 80  # 8 bytes a row
+    assert spread.spread(few, 1, "id") is few
+    assert spread.spread(many, 77, "id").rdd.getNumPartitions() == 77
+
+
+def test_graph_without_sort_of_hot_targets(spark):
+    g = Graph(spark, FOLDER)
+    assert spread.parts(g.raw_edges, 1) < 10_000_000  # of unlimited size while the classes were a local list
+    assert "SortMergeJoin" not in plan(g.edges)
+    assert "SortMergeJoin" not in plan(nav.Policy(types=(104,)).allowed(g.edges, build.degrees(g.edges)))
+
+
+def test_degrees_build_the_edges_once(spark):
+    edges = spark.createDataFrame([(1, 5, 2), (2, 5, 2), (1, 6, 3)], "src long, prop int, dst long")
+    assert sorted(map(tuple, build.degrees(edges).collect())) == [(1, 2, 0), (2, 1, 2), (3, 0, 1)]
+    assert plan(build.degrees(edges)).split("Initial Plan")[-1].count("Scan ExistingRDD") == 1
