@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import IDENTITY_KEYS, LANGUAGES
+from .spread import spread
 
 
 def f1(tp: Column, fp: Column, fn: Column) -> Column:
@@ -49,13 +50,13 @@ def overlap(expected: DataFrame, got: DataFrame, item: str, task: str = "task")
     return sums.withColumn("f1", f1(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def coverage(reads: DataFrame, sizes: DataFrame) -> DataFrame:
-    """run and its widest slice: anchor, direction, prop, distinct ids obtained, true size and share.
+def coverage(reads: DataFrame, sizes: DataFrame, parts: int = 1) -> DataFrame:
+    """run and its widest slice: anchor, direction, prop, distinct ids obtained, true size and share.  Runs are dealt to ``parts`` tasks.
 
     reads: run, anchor, direction, prop, id.  sizes: anchor, direction, prop, size.  The numerator counts entities and the
     denominator edges, so a slice with multiple edges stays below 1.
     """
-    got = reads.groupBy("run", "anchor", "direction", "prop").agg(F.countDistinct("id").alias("obtained"))
+    got = spread(reads, parts, "run").groupBy("run", "anchor", "direction", "prop").agg(F.countDistinct("id").alias("obtained"))
     joined = got.join(sizes, ["anchor", "direction", "prop"]).withColumn("share", F.round(F.col("obtained") / F.col("size"), 4))
     best = joined.groupBy("run").agg(F.max_by(F.struct("anchor", "direction", "prop", "obtained", "size", "share"), F.struct("size", "obtained", -F.col("anchor"), "direction", "prop")).alias("w"))
     return best.select("run", "w.*")
